@@ -31,9 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage: writes the rows to the shared folder, once, and reads them again."""
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -48,3 +49,38 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row, also where inner lambdas use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def map_texts(docs: DataFrame, text: str, fields: list[tuple[str, str]], make, most_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` without its text and with new columns, made from whole texts in Arrow batches.
+
+    ``make()`` is called once in each task and returns a function from a list of texts (null: empty) to as many
+    rows, one value for each of ``fields`` (name, SQL type). It gets some ``most_bytes`` of text at a time, one
+    text at least. Columns of the input that clash with new ones are dropped.
+    """
+    names = [n for n, _ in fields]
+    kept = [c for c in docs.columns if c != text and c not in names]
+    slim = docs.select(*kept, F.col(text).cast("string").alias("__text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*kept).schema] + [f"`{n}` {k}" for n, k in fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = make()
+        kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+        for batch in batches:
+            sizes = batch.column(batch.num_columns - 1)
+            first = 0
+            while first < batch.num_rows:
+                texts, size, upto = [], 0, first
+                while upto < batch.num_rows and (size < most_bytes or upto == first):
+                    texts.append(sizes[upto].as_py() or "")
+                    size += len(texts[-1])
+                    upto += 1
+                rows = work(texts)
+                made = [pa.array(col, kinds[k]) for col, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)]
+                part = batch.slice(first, upto - first)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*kept, *names])
+                first = upto
+
+    return slim.mapInArrow(run, schema)

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_views, mixing, quality, url_rules
+from . import arrow_ids, bpe_count, chat_views, mixing, quality, url_rules
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -21,12 +27,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op5_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_ids.store(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.count(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_rules, op2_chat_views, op3_quality_rules, op7_mix_sources)}
+    return {f.__name__: f for f in (op1_url_rules, op2_chat_views, op3_quality_rules, op5_arrow_ids, op7_mix_sources, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
