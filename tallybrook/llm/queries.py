@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_ids, bpe_count, chat_views, mixing, quality, spm, url_rules
+from . import arrow_ids, bpe_count, chat_views, mixing, quality, spm, topk, url_rules
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_ids.store(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,11 +48,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_rules, op2_chat_views, op3_quality_rules, op5_arrow_ids, op7_mix_sources, op9_sentencepiece, op10_token_counts)}
+    return {f.__name__: f for f in (op1_url_rules, op2_chat_views, op3_quality_rules, op5_arrow_ids, op6_top_k, op7_mix_sources, op9_sentencepiece, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": OP1, "op2_chat_views": OP2, "op7_mix_sources": OP7}
+    return {"op1_url_rules": OP1, "op2_chat_views": OP2, "op6_top_k": OP6, "op7_mix_sources": OP7}
 
 
 OP1 = r"""
@@ -113,3 +117,13 @@ queue AS (
 won AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM queue WHERE used <= (SELECT sum(size) FROM docs) GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM run LEFT JOIN won USING (doc_id)
 """
+
+OP6 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
