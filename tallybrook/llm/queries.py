@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_ids, bpe_count, chat_views, mixing, quality, spm, topk, url_rules
+from . import arrow_ids, bpe_count, chat_views, mixing, quality, spm, substring, topk, url_rules
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
@@ -48,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_rules, op2_chat_views, op3_quality_rules, op5_arrow_ids, op6_top_k, op7_mix_sources, op9_sentencepiece, op10_token_counts)}
+    return {f.__name__: f for f in (op1_url_rules, op2_chat_views, op3_quality_rules, op5_arrow_ids, op6_top_k, op7_mix_sources, op8_substring_dedup, op9_sentencepiece, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
