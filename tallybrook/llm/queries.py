@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_ids, bpe_count, chat_views, mixing, quality, spm, substring, topk, url_rules
+from . import arrow_ids, bpe_count, chat_views, mixing, near_dup, quality, spm, substring, topk, url_rules
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.label(table(spark, sf_dir, "documents"))
+
+
 def op5_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_ids.store(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_rules, op2_chat_views, op3_quality_rules, op5_arrow_ids, op6_top_k, op7_mix_sources, op8_substring_dedup, op9_sentencepiece, op10_token_counts)}
+    return {f.__name__: f for f in (op1_url_rules, op2_chat_views, op3_quality_rules, op4_near_dup, op5_arrow_ids, op6_top_k, op7_mix_sources, op8_substring_dedup, op9_sentencepiece, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
