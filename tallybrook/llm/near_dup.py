@@ -162,7 +162,12 @@ def _idf(spark, number: DataFrame, text: str, n: int):
     df = np.zeros(BUCKETS, np.int64)
     for r in rows:
         df[r["span"] * span : (r["span"] + 1) * span] = np.frombuffer(r["counts"], "<i8")
-    return spark.sparkContext.broadcast((1 + np.log((n + 1) / (df + 1))).astype(np.float32))
+    return spark.sparkContext.broadcast(weights(df, n))
+
+
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequencies as weights from 1 (in all of n documents) to 2 (in none)."""
+    return (1 + np.log((n + 1) / (df + 1)) / np.log(n + 2)).astype(np.float32)
 
 
 def _z(a: np.ndarray) -> bytes:
