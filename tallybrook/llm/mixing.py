@@ -48,7 +48,7 @@ def targets(sized: DataFrame) -> DataFrame:
     fill = Window.orderBy(F.col("most") / F.col("w"), "_source")
     t = t.withColumns({"full": F.coalesce(F.sum("most").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "rest": F.sum("w").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
     t = t.withColumn("pace", (F.col("total") - F.col("full")) / F.col("rest"))
-    pace = F.min(F.when(F.col("pace") * F.col("w") <= F.col("most"), F.col("pace"))).over(all_rows)
+    pace = F.max(F.when(F.col("pace") * F.col("w") <= F.col("most"), F.col("pace"))).over(all_rows)  # the first that fits is the largest
     return t.withColumn("pace", pace).select("_source", "source_size", F.least(F.col("most").cast("double"), F.col("pace") * F.col("w")).alias("target"))
 
 

@@ -114,7 +114,7 @@ weighed AS (
 filled AS (
   SELECT *, (total - coalesce(CAST(sum(most) OVER (ORDER BY most / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))
             / sum(w) OVER (ORDER BY most / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pace FROM weighed),
-aims AS (SELECT src, s AS source_size, least(CAST(most AS DOUBLE), w * min(CASE WHEN pace * w <= most THEN pace END) OVER ()) AS target FROM filled),
+aims AS (SELECT src, s AS source_size, least(CAST(most AS DOUBLE), w * max(CASE WHEN pace * w <= most THEN pace END) OVER ()) AS target FROM filled),
 run AS (
   SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY src ORDER BY ord, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM docs d JOIN aims USING (src)),
