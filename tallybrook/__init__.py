@@ -1,0 +1 @@
+"""Profiling, sketching and sampling of record data on Spark DataFrames."""
