@@ -30,11 +30,11 @@ def files(uri: str):
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Writes the blocks. Returns their index, a row for each document: block (uri), idx, and for each text its
-    digest (16 bytes) and n_words."""
+    """Writes the blocks. Returns their index, a row for each document: block (uri), idx, id (``__id``), and of each
+    text its digest (16 bytes) and n_words."""
     out = fresh_path(docs.sparkSession, "blocks")
     names = docs.columns
-    place = names.index(text)
+    place, key = names.index(text), names.index("__id")
 
     def run(batches):
         import uuid
@@ -54,7 +54,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
             texts = [x or "" for x in table.column(place).to_pylist()]
             raw = [x.encode() for x in texts]
             n = len(raw)
-            return pa.RecordBatch.from_arrays([pa.array([uri] * n), pa.array(range(n), pa.int32()), pa.array([hashlib.md5(x, usedforsecurity=False).digest() for x in raw], pa.binary()), pa.array([len(x.split()) for x in raw], pa.int64())], ["block", "idx", "digest", "n_words"])
+            return pa.RecordBatch.from_arrays([pa.array([uri] * n), pa.array(range(n), pa.int32()), table.column(key).combine_chunks(), pa.array([hashlib.md5(x, usedforsecurity=False).digest() for x in raw], pa.binary()), pa.array([len(x.split()) for x in raw], pa.int64())], ["block", "idx", "id", "digest", "n_words"])
 
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
@@ -70,7 +70,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield write()
 
-    return cut(docs.mapInArrow(run, "block string, idx int, digest binary, n_words long"))
+    return cut(docs.mapInArrow(run, "block string, idx int, id long, digest binary, n_words long"))
 
 
 def load(uri: str, columns: list[str] | None = None):

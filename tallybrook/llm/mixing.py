@@ -67,7 +67,7 @@ def _block(order: Column, blocks: int) -> Column:
 
 def _served(sized: DataFrame, plan: Plan) -> DataFrame:
     """Adds the sums up to each document in its source, and the source's figures."""
-    df = sized.withColumn("_block", _block(F.col("_order"), plan.blocks)).join(plan.offsets, ["_source", "_block"])
+    df = sized.withColumn("_block", _block(F.col("_order"), plan.blocks)).join(plan.offsets.hint("merge"), ["_source", "_block"])
     inside = Window.partitionBy("_source", "_block").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("_sum", F.col("offset") + F.sum("size").over(inside))
 
@@ -82,7 +82,7 @@ def plan(docs: DataFrame, text: str = "text") -> Plan:
     blocks = max(16, 8 * math.isqrt(n))
     sums = slim.groupBy("_source", _block(F.col("_order"), blocks).alias("_block")).agg(F.sum("size").alias("s"))
     before = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut(sums.withColumn("offset", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s").join(F.broadcast(targets(slim)), "_source"))
+    offsets = cut(sums.withColumn("offset", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s").join(targets(slim), "_source"))
     made = Plan(blocks, offsets, None)
     served = _served(slim, made).filter("size > 0 and target > 0")
     items = served.select("size", "_source", "_order", "doc_id", F.explode(F.array(*(_finish(i) for i in range(REPEATS)))).alias("finish"))

@@ -167,7 +167,7 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     parts, groups = max(8, anchors // PART), max(16, anchors // GROUP)
     n_blocks = max(1, number.count())
 
-    firsts = _first_texts(index, number, docs)
+    firsts = _first_texts(index, number)
     todo = firsts.repartition(n_blocks, "no")
 
     # 1. anchors of each block, by parts of the hash range
@@ -192,7 +192,7 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.table({"no": table.column("no"), "light": pa.array(light, pa.binary()), "heavy": pa.array(heavy, pa.binary())})
 
     met = told.groupBy("part").applyInArrow(meet, "no int, light binary, heavy binary")
-    back = cut(met.groupBy("no").agg(F.collect_list("light").alias("light"), F.collect_list("heavy").alias("heavy")).join(firsts, "no"))
+    back = cut(met.groupBy("no").agg(F.collect_list("light").alias("light"), F.collect_list("heavy").alias("heavy")).join(firsts.hint("merge"), "no"))
 
     # 2. windows of repeated anchors: their words by group, or a hash of the whole window
     def send(batches):
@@ -236,7 +236,7 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
 
     marks = sent.groupBy("kind", "grp").applyInArrow(resolve, "no int, kind int, marks binary")
     per_block = marks.groupBy("no").agg(F.collect_list(F.struct("kind", "marks")).alias("marks"))
-    last = number.select("no", "block").join(back.select("no", "firsts", "heavy"), "no", "left").join(per_block, "no", "left")
+    last = number.select("no", "block").join(back.select("no", "firsts", "heavy").hint("merge"), "no", "left").join(per_block.hint("merge"), "no", "left")
 
     # 3. each block takes its words out
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_words long", "n_removed long"])
@@ -258,27 +258,11 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     return last.repartition(n_blocks, "no").select("block", "firsts", "heavy", "marks").mapInArrow(take_out, schema)
 
 
-def _first_texts(index: DataFrame, number: DataFrame, docs: DataFrame) -> DataFrame:
+def _first_texts(index: DataFrame, number: DataFrame) -> DataFrame:
     """no, block, firsts: the places of those documents whose text, of a window at least, no earlier one has."""
-    ids = _ids(index)
-    long = ids.filter(F.col("n_words") >= WINDOW)
+    long = index.filter(F.col("n_words") >= WINDOW)
     first = long.groupBy("digest").agg(F.min(F.struct("id", "block", "idx")).alias("f")).select("f.block", "f.idx")
-    return cut(first.groupBy("block").agg(F.sort_array(F.collect_list("idx")).alias("firsts")).join(number.select("no", "block"), "block"))
-
-
-def _ids(index: DataFrame) -> DataFrame:
-    """The index with the documents' ids, read from the blocks."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                ids = B.load(uri, ["__id"]).column(0).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(ids)), pa.array(range(len(ids)), pa.int32()), ids], ["block", "idx", "id"])
-
-    found = index.select("block").distinct().mapInArrow(run, "block string, idx int, id long")
-    return index.join(found, ["block", "idx"])
+    return cut(first.groupBy("block").agg(F.sort_array(F.collect_list("idx")).alias("firsts")).join(number.select("no", "block").hint("merge"), "block"))
 
 
 def _payload(t: Texts, rows: np.ndarray) -> bytes:

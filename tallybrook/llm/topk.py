@@ -186,7 +186,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     first = F.broadcast(candidates.filter("place = 0").select(F.lit(0).alias("one"), "ids", "m"))
     begun = cut(_scanned(asked.withColumns({"one": F.lit(0), "least": F.lit(None).cast("binary")}).join(first, "one"), width, basis, lead, k))
     n_blocks = made.count()
-    later = asked.join(begun.select("qb", "least"), "qb").withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(max(1, n_blocks - 1)))))
+    later = asked.join(begun.select("qb", "least").hint("merge"), "qb").withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(max(1, n_blocks - 1)))))
     rest = _scanned(later.join(candidates.hint("shuffle_hash"), "place"), width, basis, lead, k)
     found = begun.unionByName(rest).select(F.explode(F.arrays_zip("q", "i", "s")).alias("x")).select(F.col("x.q").alias("query_id"), F.col("x.i").alias("vec_id"), F.col("x.s").alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
