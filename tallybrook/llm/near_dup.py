@@ -6,14 +6,15 @@ copies of a passage don't make the passage light, and two near copies weigh alik
 frequencies are counted over all documents, in ``BUCKETS`` hash buckets, a fixed size at any scale.
 
 From each set ``SAMPLES`` consistent weighted samples are drawn; two sets agree in a sample with the probability
-of their weighted Jaccard similarity. Samples form ``BANDS`` bands of ``ROWS``. Documents meet where two bands
-agree (at similarity 0.8 all but some 0.2 % of pairs do, at 0.85 all but 0.02 %). In each such meeting a few
-members are pivots; members of other classes are compared with them by the exact weighted Jaccard similarity of
-the texts, links join classes, and the pivots leave. A meeting ends when one class is left, so no pair of
-different classes goes unchecked, and pairs of one class are not listed. Equal texts are one document throughout.
+of their weighted Jaccard similarity. Samples form ``BANDS`` bands of ``ROWS``. Documents are candidates of each
+other where two bands agree (at similarity 0.8 all but some 0.2 % of pairs do, at 0.85 all but 0.02 %). Candidates
+are joined into families by label propagation over links to the least member of each meeting, so no pairs are
+listed. Equal texts are one document throughout.
 
-Texts come from the block store (blocks.py) and go to groups of ``TOGETHER`` at most, so a pivot with any number
-of partners is shared by many tasks. Classes are joined by distributed label propagation.
+A family's texts come from the block store (blocks.py) in cells of ``2 * CELL`` at most: small families share a
+cell, a large one is cut into chunks that meet two by two. A cell multiplies out the exact weighted Jaccard
+similarities of all its texts at once and gives back the links that span its classes; those of all cells, joined
+by label propagation, are the classes. No pair of one family goes unchecked, and no group outgrows a cell.
 
 Cases: a text of less than ``SHINGLE`` words is one window. Null or empty texts have no windows: each is a class
 of its own. Rows of equal id and different text are different documents. A null id is before all others. Equal
@@ -36,7 +37,9 @@ SAMPLES = ROWS * BANDS
 BUCKETS = 1 << 18
 #: Random values of each sample, which windows pick by their hash.
 DRAWS = 1 << 16
-PIVOTS, TOGETHER = 4, 64
+CELL = 256
+#: Windows that are multiplied out at once.
+WIDE = 4096
 NO_ID = -(1 << 63)
 
 
@@ -66,8 +69,8 @@ def frequencies(raw: list[bytes]) -> np.ndarray:
     return np.bincount(np.unique(doc * BUCKETS + _bucket(h)) % BUCKETS, minlength=BUCKETS)
 
 
-def vectors(raw: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """document, window hash, weight: sorted by document and hash."""
+def vectors(raw: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """document, window hash, weight, and the weight of one count: sorted by document and hash."""
     h, doc, first = _words(raw)
     n = np.diff(np.append(first, len(h)))
     rare = idf[_bucket(h)]
@@ -88,7 +91,7 @@ def vectors(raw: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new = np.ones(len(key), bool)
     new[1:] = (who[1:] != who[:-1]) | (key[1:] != key[:-1])
     at = np.flatnonzero(new)
-    return who[at], key[at], (np.diff(np.append(at, len(key))) * top[at]).astype(np.float32)
+    return who[at], key[at], (np.diff(np.append(at, len(key))) * top[at]).astype(np.float32), top[at]
 
 
 def _draws() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -127,12 +130,44 @@ def bands(who: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.nd
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sets of (hash, weight), sorted by hash."""
-    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    same = b[0][at] == a[0]
-    low = np.minimum(a[1][same], b[1][at[same]]).sum(dtype=np.float64)
-    return float(low / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - low))
+def similarities(who: np.ndarray, key: np.ndarray, weight: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard similarities of n sets. A window counted t times is t windows, so that least weights add up as products."""
+    times = np.maximum(np.rint(weight / idf).astype(np.int64), 1)
+    turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    who, root = np.repeat(who, times), np.sqrt(np.repeat(weight / times, times).astype(np.float64))
+    key = np.repeat(key, times) + turn.astype(U) * U(0x9E3779B97F4A7C15)
+    total = np.bincount(who, root * root, n)
+    by = np.argsort(key, kind="stable")
+    feature = np.cumsum(np.diff(key[by], prepend=key[by[:1]]) != 0)
+    shared = np.bincount(feature)[feature] > 1
+    by, feature = by[shared], feature[shared]
+    feature = np.cumsum(np.diff(feature, prepend=feature[:1]) != 0)
+    low = np.zeros((n, n))
+    for first in range(0, int(feature[-1]) + 1 if len(feature) else 0, WIDE):
+        lo, hi = np.searchsorted(feature, (first, first + WIDE))
+        x = np.zeros((n, min(WIDE, int(feature[-1]) + 1 - first)))
+        x[who[by[lo:hi]], feature[lo:hi] - first] = root[by[lo:hi]]
+        low += x @ x.T
+    return low / np.maximum(total[:, None] + total[None, :] - low, 1e-300)
+
+
+def spanning(similar: np.ndarray) -> list[tuple[int, int]]:
+    """Links (later, earlier) that join what the pairs of the boolean matrix join."""
+    root = list(range(len(similar)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
+        a, b = find(int(i)), find(int(j))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((int(j), int(i)))
+    return links
 
 
 def _texts(uri: str, text: str, idx: list[int]) -> list[bytes]:
@@ -182,27 +217,24 @@ def _unz(b: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], 8 * int.from_bytes(b[:8], "little"), "zstd", asbytes=True), "<i8")
 
 
-def _ids(index: DataFrame) -> DataFrame:
-    """The index with the documents' ids, read from the blocks."""
+def _cells(families: DataFrame) -> DataFrame:
+    """gid, label, i, j: the cells that each document of ``families`` (node, label) goes to."""
+    size = families.groupBy("label").agg(F.count("*").alias("n"))
+    small = size.filter(F.col("n") <= CELL // 2).agg(F.sum("n")).first()[0] or 0
+    bins = max(1, -(-small // (CELL // 2)))
+    known = families.join(size.hint("merge"), "label").withColumn("chunks", F.ceil(F.col("n") / CELL).cast("int"))
+    apart = F.col("n") <= CELL // 2
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, chunk).alias("i"), F.greatest(k, chunk).alias("j")))
+    one = F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).cast("int").alias("i"), F.lit(-1).alias("j")))
+    cell = F.explode(F.when(apart, one).otherwise(meets)).alias("c")
+    return known.select(F.col("node").alias("gid"), F.when(apart, F.lit(-1)).otherwise(F.col("label")).alias("label"), cell).select("gid", "label", "c.i", "c.j")
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                ids = B.load(uri, ["__id"]).column(0).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(ids)), pa.array(range(len(ids)), pa.int32()), ids], ["block", "idx", "id"])
 
-    return index.join(index.select("block").distinct().mapInArrow(run, "block string, idx int, id long"), ["block", "idx"])
-
-
-def _fetch_and_compare(pairs: DataFrame, number: DataFrame, text: str, idf) -> DataFrame:
-    """a, b, similarity of each pair (a, pivot b) of document numbers."""
-    counts = pairs.groupBy("b").count().select("b", F.ceil(F.col("count") / TOGETHER).cast("int").alias("salts"))
-    salted = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-    pivots = counts.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    asked = salted.unionByName(pivots).withColumns({"no": F.shiftright("a", 32).cast("int"), "idx": F.col("a").bitwiseAND((1 << 32) - 1).cast("int")})
-    wanted = asked.groupBy("no").agg(F.collect_list(F.struct("idx", "b", "salt")).alias("asked")).join(number.select("no", "block"), "no")
+def _links(families: DataFrame, number: DataFrame, n_blocks: int, text: str, idf) -> DataFrame:
+    """u, v: pairs of one family that are similar, as many as it takes to join their classes."""
+    asked = _cells(families).withColumns({"no": F.shiftright("gid", 32).cast("int"), "idx": F.col("gid").bitwiseAND((1 << 32) - 1).cast("int")})
+    wanted = asked.groupBy("no").agg(F.collect_list(F.struct("idx", "label", "i", "j")).alias("asked")).join(number.select("no", "block").hint("merge"), "no")
 
     def fetch(batches):
         import pyarrow as pa
@@ -213,22 +245,18 @@ def _fetch_and_compare(pairs: DataFrame, number: DataFrame, text: str, idf) -> D
                 found = dict(zip(idx, _texts(uri, text, idx), strict=True))
                 for lo in range(0, len(rows), 500):
                     some = rows[lo : lo + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array([r["b"] for r in some], pa.int64()), pa.array([r["salt"] for r in some], pa.int32()), pa.array([(no << 32) + r["idx"] for r in some], pa.int64()), pa.array([found[r["idx"]] for r in some], pa.binary())], ["b", "salt", "a", "raw"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r["label"] for r in some], pa.int64()), pa.array([r["i"] for r in some], pa.int32()), pa.array([r["j"] for r in some], pa.int32()), pa.array([(no << 32) + r["idx"] for r in some], pa.int64()), pa.array([found[r["idx"]] for r in some], pa.binary())], ["label", "i", "j", "gid", "raw"])
 
     def compare(table):
         import pyarrow as pa
 
-        b = table.column("b")[0].as_py()
-        a, raw = table.column("a").to_pylist(), table.column("raw").to_pylist()
-        who, key, weight = vectors(raw, idf.value)
-        edge = np.searchsorted(who, np.arange(len(raw) + 1))
-        sets = [(key[lo:hi], weight[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
-        pivot = sets[a.index(b)]
-        others = [(x, similarity(s, pivot)) for x, s in zip(a, sets, strict=True) if x != b]
-        return pa.table({"a": pa.array([x for x, _ in others], pa.int64()), "b": pa.array([b] * len(others), pa.int64()), "similarity": pa.array([s for _, s in others], pa.float64())})
+        gids = table.column("gid").to_pylist()
+        similar = similarities(*vectors(table.column("raw").to_pylist(), idf.value), len(gids)) >= LEAST
+        links = spanning(similar)
+        return pa.table({"u": pa.array([gids[a] for a, _ in links], pa.int64()), "v": pa.array([gids[b] for _, b in links], pa.int64())})
 
-    texts = wanted.select("no", "block", "asked").mapInArrow(fetch, "b long, salt int, a long, raw binary")
-    return texts.groupBy("b", "salt").applyInArrow(compare, "a long, b long, similarity double")
+    texts = wanted.repartition(n_blocks, "no").select("no", "block", "asked").mapInArrow(fetch, "label long, i int, j int, gid long, raw binary")
+    return texts.groupBy("label", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,27 +264,19 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), "label")
+        near = both.join(labels.withColumnRenamed("node", "v").hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        least = labels.join(near.hint("merge"), "node").select("node", F.least("label", "near").alias("new"), "label")
         # and to where the label's own label points
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("next"))
-        nxt = cut(least.join(jump, "new").select("node", F.least("new", "next").alias("new"), "label"))
+        nxt = cut(least.join(jump.hint("merge"), "new").select("node", F.least("new", "next").alias("new"), "label"))
         labels = nxt.select("node", F.col("new").alias("label"))
         if nxt.filter("new <> label").isEmpty():
             return labels
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, label) after ``links`` between nodes join some of them."""
-    name = labels.select(F.col("node"), "label")
-    over = links.join(name.toDF("a", "u"), "a").join(name.toDF("b", "v"), "b").filter("u <> v").select("u", "v")
-    merged = components(over)
-    return cut(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-
-
 def _met(keys: DataFrame) -> DataFrame:
     """Rows (key, gid) of keys that two or more rows have."""
-    return keys.join(keys.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi")
+    return keys.join(keys.groupBy("key").count().filter("count > 1").select("key").hint("merge"), "key", "left_semi")
 
 
 def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -269,11 +289,11 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     spread = number.repartition(n_blocks, "no")
     idf = _idf(spark, spread, text, number.agg(F.sum("rows")).first()[0] or 0)
     gid = F.shiftleft(F.col("no").cast("long"), 32) + F.col("idx")
-    rows = cut(_ids(index).join(F.broadcast(number.select("block", "no")) if n_blocks <= 10_000 else number.select("block", "no"), "block").select("block", "idx", "id", gid.alias("gid"), "digest", "n_words"))
+    rows = cut(index.join(F.broadcast(number.select("block", "no")) if n_blocks <= 10_000 else number.select("block", "no").hint("merge"), "block").select("block", "idx", "id", gid.alias("gid"), "digest", "n_words"))
     # equal texts are one document, named by the first; empty ones stay apart
     heads = rows.filter("n_words > 0").groupBy("digest").agg(F.min(F.struct("id", "gid")).alias("h")).select("digest", F.col("h.gid").alias("head"))
-    rows = cut(rows.join(heads, "digest", "left").select("block", "idx", "id", "gid", F.when(F.col("n_words") > 0, F.col("head")).otherwise(F.col("gid")).alias("head"), "n_words"))
-    todo = rows.filter("gid = head and n_words > 0").groupBy("block").agg(F.sort_array(F.collect_list("idx")).alias("idx")).join(number.select("block", "no"), "block")
+    rows = cut(rows.join(heads.hint("merge"), "digest", "left").select("block", "idx", "id", "gid", F.when(F.col("n_words") > 0, F.col("head")).otherwise(F.col("gid")).alias("head"), "n_words"))
+    todo = rows.filter("gid = head and n_words > 0").groupBy("block").agg(F.sort_array(F.collect_list("idx")).alias("idx")).join(number.select("block", "no").hint("merge"), "block")
 
     def draw(batches):
         import pyarrow as pa
@@ -281,43 +301,22 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for uri, no, idx in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = _texts(uri, text, idx)
-                made = bands(*vectors(raw, idf.value), len(raw)).view(np.int64)
+                made = bands(*vectors(raw, idf.value)[:3], len(raw)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([(no << 32) + i for i in idx], pa.int64()), pa.array(made.tolist(), pa.list_(pa.int64()))], ["gid", "keys"])
 
     drawn = cut(todo.repartition(n_blocks, "no").select("block", "no", "idx").mapInArrow(draw, "gid long, keys array<long>"))
     single = drawn.select("gid", F.posexplode("keys").alias("band", "k")).withColumn("key", F.xxhash64("band", "k"))
     lively = cut(_met(single.select("key", "gid", "band")).groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("bands")))
 
-    # neighbouring bands in twos first: what they join needn't be looked at again
-    twos = lambda keep: F.explode(F.flatten(F.transform("bands", lambda x: F.transform(F.filter("bands", lambda y: keep(x["band"], y["band"])), lambda y: F.xxhash64(x["key"], y["key"])))))
-    labels = lively.select(F.col("gid").alias("node"), F.col("gid").alias("label"))
-    known = None
-    for keep in (lambda i, j: (i % 2 == 0) & (j == i + 1), lambda i, j: i < j):
-        left = cut(_met(lively.select(twos(keep).alias("key"), "gid")))
-        while True:
-            seen = left.join(labels.withColumnRenamed("node", "gid"), "gid")
-            mixed = seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-            left = cut(seen.join(mixed, "key", "left_semi").select("key", "gid", "label"))
-            if left.isEmpty():
-                break
-            # pivots are of the classes that have the fewest members here
-            few = left.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("gid").alias("gid"))
-            order = Window.partitionBy("key").orderBy("n", "gid")
-            pivots = cut(few.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= PIVOTS).select("key", F.col("gid").alias("b"), F.col("label").alias("b_label")))
-            met = left.join(pivots, "key").filter("label <> b_label").groupBy(F.least("gid", "b").alias("lo"), F.greatest("gid", "b").alias("hi")).agg(F.min("b").alias("b"))
-            if known is not None:
-                met = met.join(known, ["lo", "hi"], "left_anti")
-            pairs = cut(met.select((F.col("lo") + F.col("hi") - F.col("b")).alias("a"), "b"))
-            found = cut(_fetch_and_compare(pairs, number, text, idf))
-            tried = found.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-            known = tried if known is None else cut(known.unionByName(tried))
-            links = found.filter(F.col("similarity") >= LEAST)
-            if not links.isEmpty():
-                labels = _relabel(labels, links)
-            left = left.join(pivots.select("key", F.col("b").alias("gid")), ["key", "gid"], "left_anti").select("key", "gid")
-    joined = rows.join(labels.select(F.col("node").alias("head"), "label"), "head", "left").withColumn("label", F.coalesce("label", "head"))
+    twos = F.explode(F.flatten(F.transform("bands", lambda x: F.transform(F.filter("bands", lambda y: y["band"] > x["band"]), lambda y: F.xxhash64(x["key"], y["key"])))))
+    met = lively.select(twos.alias("key"), "gid")
+    least = met.groupBy("key").agg(F.min("gid").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
+    meetings = met.join(least.hint("merge"), "key").select(F.col("gid").alias("u"), "v").filter("u <> v").distinct()
+    families = components(meetings)
+    labels = components(cut(_links(families, number, n_blocks, text, idf)))
+    joined = rows.join(labels.select(F.col("node").alias("head"), "label").hint("merge"), "head", "left").withColumn("label", F.coalesce("label", "head"))
     first = joined.groupBy("label").agg(F.min(F.struct("id", "gid")).alias("first"), F.count("*").alias("members"))
-    return joined.join(first, "label").select("block", "idx", "id", "gid", "first", "members"), number
+    return joined.join(first.hint("merge"), "label").select("block", "idx", "id", "gid", "first", "members"), number
 
 
 def label(docs: DataFrame, text: str = "text") -> DataFrame:
