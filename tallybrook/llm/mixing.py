@@ -3,7 +3,8 @@
 Each source's documents are shuffled by a hash of their id and served in that order, up to ``REPEATS`` times
 over. A serving's virtual finish time is the words its source has then served, divided by the source's target,
 so all sources run at the pace of their targets. Servings are ordered by finish time over all sources and cut
-where the total budget is used up.
+where the total budget is used up. A serving that would bring its source past its target by more than half the
+document is not in the queue: what one source can't use, for want of small documents, doesn't swell the others.
 
 Sources by code point, null last, weigh 5, 2, 1, 5, ... of the total; a target stops at ``REPEATS`` times the
 source's size and the excess goes to the others by weight until none is above (water filling).
@@ -72,8 +73,10 @@ def _served(sized: DataFrame, plan: Plan) -> DataFrame:
     return df.withColumn("_sum", F.col("offset") + F.sum("size").over(inside))
 
 
-def _finish(turn: Column | int) -> Column:
-    return (F.col("source_size") * turn + F.col("_sum")) / F.col("target")
+def _finish(turn: int) -> Column:
+    """The virtual finish time of a serving; null if its source is nearer to its target without it."""
+    upto = F.col("source_size") * turn + F.col("_sum")
+    return F.when(2 * upto - F.col("size") <= 2 * F.col("target"), upto / F.col("target"))
 
 
 def plan(docs: DataFrame, text: str = "text") -> Plan:
@@ -85,7 +88,7 @@ def plan(docs: DataFrame, text: str = "text") -> Plan:
     offsets = cut(sums.withColumn("offset", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s").join(targets(slim), "_source"))
     made = Plan(blocks, offsets, None)
     served = _served(slim, made).filter("size > 0 and target > 0")
-    items = served.select("size", "_source", "_order", "doc_id", F.explode(F.array(*(_finish(i) for i in range(REPEATS)))).alias("finish"))
+    items = served.select("size", "_source", "_order", "doc_id", F.explode(F.array(*(_finish(i) for i in range(REPEATS)))).alias("finish")).filter("finish is not null")
     items = items.withColumn("slot", F.floor(F.col("finish") * blocks))
     budget = slim.agg(F.sum("size")).first()[0] or 0
     slots = items.groupBy("slot").agg(F.sum("size").alias("s"))
@@ -108,10 +111,10 @@ def mix(docs: DataFrame, text: str = "text", made: Plan | None = None) -> DataFr
 
     def within(turn: int) -> Column:
         if made.last is None:
-            return F.lit(1)
+            return F.when(_finish(turn).isNotNull(), 1).otherwise(0)
         finish, source, order = made.last
         place = F.struct(_finish(turn).alias("f"), F.col("_source").alias("s"), F.col("_order").alias("o"))
-        return F.when(place <= F.struct(F.lit(finish).alias("f"), F.lit(source).alias("s"), F.lit(order).alias("o")), 1).otherwise(0)
+        return F.when(_finish(turn).isNotNull() & (place <= F.struct(F.lit(finish).alias("f"), F.lit(source).alias("s"), F.lit(order).alias("o"))), 1).otherwise(0)
 
     times = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((within(i) for i in range(REPEATS)), F.lit(0))).otherwise(0)
     df = df.withColumn("times", times.cast("int"))

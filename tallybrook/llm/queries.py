@@ -120,7 +120,7 @@ run AS (
   FROM docs d JOIN aims USING (src)),
 items AS (
   SELECT src, ord, doc_id, size, CAST(source_size * e + upto AS BIGINT) / target AS finish
-  FROM run, (VALUES (0), (1), (2)) AS t(e) WHERE size > 0 AND target > 0),
+  FROM run, (VALUES (0), (1), (2)) AS t(e) WHERE size > 0 AND target > 0 AND 2 * CAST(source_size * e + upto AS BIGINT) - size <= 2 * target),
 queue AS (
   SELECT *, sum(size) OVER (ORDER BY finish, src, ord, doc_id, size ROWS UNBOUNDED PRECEDING) AS used FROM items),
 won AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM queue WHERE used <= (SELECT sum(size) FROM docs) GROUP BY doc_id)
