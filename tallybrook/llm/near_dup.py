@@ -131,7 +131,10 @@ def bands(who: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.nd
 
 
 def similarities(who: np.ndarray, key: np.ndarray, weight: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    """Weighted Jaccard similarities of n sets. A window counted t times is t windows, so that least weights add up as products."""
+    """Weighted Jaccard similarities of the pairs of n sets (what stands on the diagonal means nothing).
+
+    A window counted t times is t windows, so that least weights add up as products.
+    """
     times = np.maximum(np.rint(weight / idf).astype(np.int64), 1)
     turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     who, root = np.repeat(who, times), np.sqrt(np.repeat(weight / times, times).astype(np.float64))
