@@ -222,7 +222,7 @@ def _unz(b: bytes) -> np.ndarray:
 
 def _cells(families: DataFrame) -> DataFrame:
     """gid, label, i, j: the cells that each document of ``families`` (node, label) goes to."""
-    size = families.groupBy("label").agg(F.count("*").alias("n"))
+    size = families.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
     small = size.filter(F.col("n") <= CELL // 2).agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-small // (CELL // 2)))
     known = families.join(size.hint("merge"), "label").withColumn("chunks", F.ceil(F.col("n") / CELL).cast("int"))
@@ -311,11 +311,20 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     single = drawn.select("gid", F.posexplode("keys").alias("band", "k")).withColumn("key", F.xxhash64("band", "k"))
     lively = cut(_met(single.select("key", "gid", "band")).groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("bands")))
 
-    twos = F.explode(F.flatten(F.transform("bands", lambda x: F.transform(F.filter("bands", lambda y: y["band"] > x["band"]), lambda y: F.xxhash64(x["key"], y["key"])))))
-    met = lively.select(twos.alias("key"), "gid")
-    least = met.groupBy("key").agg(F.min("gid").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
-    meetings = met.join(least.hint("merge"), "key").select(F.col("gid").alias("u"), "v").filter("u <> v").distinct()
-    families = components(meetings)
+    def meetings(keep) -> DataFrame:
+        """gid, key of those twos of a document's bands that ``keep`` picks."""
+        twos = F.flatten(F.transform("bands", lambda x: F.transform(F.filter("bands", lambda y: keep(x["band"], y["band"])), lambda y: F.xxhash64(x["key"], y["key"]))))
+        return lively.select("gid", F.explode(twos).alias("key"))
+
+    # neighbouring bands first: then most of a large family is one node, and all twos of bands link few more
+    nodes = lively.select("gid", F.col("gid").alias("node"))
+    for keep in (lambda i, j: (i % 2 == 0) & (j == i + 1), lambda i, j: i < j):
+        met = meetings(keep).join(nodes.hint("merge"), "gid").select("key", "node").distinct()
+        least = met.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
+        links = met.join(least.hint("merge"), "key").select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
+        to = components(links)
+        nodes = cut(nodes.join(to.hint("merge"), "node", "left").select("gid", F.coalesce("label", "node").alias("node")))
+    families = nodes.select(F.col("gid").alias("node"), F.col("node").alias("label"))
     labels = components(cut(_links(families, number, n_blocks, text, idf)))
     joined = rows.join(labels.select(F.col("node").alias("head"), "label").hint("merge"), "head", "left").withColumn("label", F.coalesce("label", "head"))
     first = joined.groupBy("label").agg(F.min(F.struct("id", "gid")).alias("first"), F.count("*").alias("members"))
