@@ -28,6 +28,7 @@ from array import array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import files
 from .bpe_count import byte_symbols
 from .common import cut, fresh_path
 
@@ -87,12 +88,6 @@ def words(path: str) -> Words:
     return _words[path]
 
 
-def _file(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 class _Writer:
     """Writes one shard. Holds a batch of sequences at most besides the index of its documents."""
 
@@ -105,7 +100,7 @@ class _Writer:
         self.dtype = np.dtype("<u2" if code == "H" else "<u4")
         kind = pa.uint16() if code == "H" else pa.uint32()
         self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], {"rows": str(rows), "length": str(length)})
-        self.files, path = _file(uri)
+        self.files, path = files(uri)
         self.files.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = self.files.open_output_stream(f"{path}.ids")
         self.stream = pa.ipc.new_stream(self.out, self.schema)
@@ -189,9 +184,9 @@ class Shard:
     def __init__(self, uri: str):
         import pyarrow as pa
 
-        files, path = _file(uri)
-        local = type(files).__name__ == "LocalFileSystem"
-        opened = (lambda p: pa.memory_map(p)) if local else files.open_input_file
+        store, path = files(uri)
+        local = type(store).__name__ == "LocalFileSystem"
+        opened = (lambda p: pa.memory_map(p)) if local else store.open_input_file
         with opened(f"{path}.docs") as f:
             self.docs = pa.ipc.open_stream(f).read_all()
         self.source = opened(f"{path}.ids")

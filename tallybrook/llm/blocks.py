@@ -24,9 +24,10 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def files(uri: str):
+    """File system and path of a file in the shared folder; Hadoop's name of an S3 store is Arrow's s3."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -207,7 +207,7 @@ def test_pipeline(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     path = blocks.fresh_path(spark, "sf")
     df.write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(53, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in (*range(40), 50)] + [(53, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     at = spark.read.parquet(f"{path}/documents.parquet")
     sizes = []
     for name, stage in corpus_pipeline.STAGES:
