@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +39,7 @@ def parse(text: Column) -> Column:
 def parse_literal(text: str) -> bytes:
     """The same for an argument of the driver."""
     if text[:2] in ("0x", "0X"):
-        try:
-            return bytes.fromhex(text[2:]) if not text[2:].strip() != text[2:] and " " not in text else _bad(text)
-        except ValueError:
-            return _bad(text)
+        if not re.fullmatch("(?:[0-9A-Fa-f]{2})*", text[2:]):
+            raise ValueError(f"invalid hex input {text!r}")
+        return bytes.fromhex(text[2:])
     return text.encode()
-
-
-def _bad(text: str) -> bytes:
-    raise ValueError(f"invalid hex input {text!r}")
