@@ -181,6 +181,18 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert n.get((1, False), 0) == 0 and n.get((0, True), 0) <= 0.1 * n[0, False]
 
 
+def test_quality_is_as_sharp_with_many_n_grams(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 64)
+    docs = [(i, " ".join(f"w{(i % 10 * 7 + k * k) % 307}" for k in range(100))) for i in range(200)] + [(1000 + i, " ".join(f"x{i}y{k}" for k in range(100))) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.judge(df, labels).collect()}
+    assert max(got[1000 + i] for i in range(3)) < min(got[i] for i in range(200)) - 0.2
+    # ratios that are looked up and ratios that are joined
+    monkeypatch.setattr(quality, "SLOTS", 16)
+    assert {r.doc_id: r.score for r in quality.judge(df, labels).collect()} == got
+
+
 # mixing
 
 
