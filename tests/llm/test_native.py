@@ -193,6 +193,15 @@ def test_quality_is_as_sharp_with_many_n_grams(spark, monkeypatch):
     assert {r.doc_id: r.score for r in quality.judge(df, labels).collect()} == got
 
 
+def test_quality_threshold_follows_the_trusted_scores(spark):
+    text = lambda i: " ".join([f"w{(i * 7 + k) % 50}" for k in range(40)] + [f"own{i}w{k}" for k in range(25)])
+    docs = [(i, text(i)) for i in range(120)] + [(1000 + i, " ".join(f"x{i}y{k}" for k in range(100))) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.judge(df, labels).filter("kept").collect()}
+    assert len(kept & set(range(60, 120))) >= 57 and not kept - set(range(120))
+
+
 # mixing
 
 
