@@ -25,9 +25,24 @@ def omit_zero(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def json_array(rows: DataFrame, order: str, most: int = 10_000) -> DataFrame:
-    """One row, json: the rows as an array in the order of a column. For short results (``most`` rows)."""
-    some = rows.limit(most).select(F.struct(order, json_object(*rows.columns).alias("j")).alias("s"))
-    return some.agg(F.array_sort(F.collect_list("s")).alias("s")).select(F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["j"]), ","), F.lit("]")).alias("json"))
+    """One row, json: the rows as an array in the order of a column. More than ``most`` rows fail: ``write_json_array`` writes those."""
+    some = rows.limit(most + 1).select(F.struct(order, json_object(*rows.columns).alias("j")).alias("s"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["j"]), ","), F.lit("]"))
+    failed = F.raise_error(F.lit(f"more than {most} rows for a JSON array: use write_json_array")).cast("string")
+    return some.agg(F.array_sort(F.collect_list("s")).alias("s")).select(F.when(F.size("s") > most, failed).otherwise(text).alias("json"))
+
+
+def write_json_array(rows: DataFrame, order: str, path: str) -> None:
+    """All rows as one array to a file, in the order of a column. The driver holds one partition at a time."""
+    from pyarrow import fs
+
+    lines = rows.select(F.col(order).alias("o"), json_object(*rows.columns).alias("j")).orderBy("o", "j").select("j")
+    files, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with files.open_output_stream(name) as out:
+        out.write(b"[")
+        for i, r in enumerate(lines.toLocalIterator()):
+            out.write((",\n" if i else "").encode() + r["j"].encode())
+        out.write(b"]\n")
 
 
 def tsv_lines(df: DataFrame) -> DataFrame:

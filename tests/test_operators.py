@@ -223,6 +223,16 @@ def test_records(spark, tmp_path):
     assert records.union_all(records.read(spark, str(f)), records.read(spark, str(z))).count() == 5
 
 
+def test_json_array_loses_no_rows(spark, tmp_path):
+    df = spark.range(10_001).repartition(3)
+    with pytest.raises(Exception, match="more than 10000 rows"):
+        sinks.json_array(df, "id").collect()
+    sinks.write_json_array(df, "id", str(tmp_path / "all.json"))
+    assert [r["id"] for r in json.loads((tmp_path / "all.json").read_text())] == list(range(10_001))
+    sinks.write_json_array(df.limit(0), "id", str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a<b"), (2, "c\td")], "rank int, item string")
     assert sinks.json_array(df, "rank").first().json == '[{"rank":1,"item":"a\\u003cb"},{"rank":2,"item":"c\\td"}]'
