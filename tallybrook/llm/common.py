@@ -16,18 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it.
-
-    Only a session without the setting (a test on one machine) gets a folder of its own.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told
-    found = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share, as the session names it. Only a session that runs in one
+    process (``local``) gets one of its own where none is named."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
-    return spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python gets, in rows and bytes, unless the session has set its own bounds."""
+    for name, value in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 2 << 20)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -84,3 +87,14 @@ def map_texts(docs: DataFrame, text: str, fields: list[tuple[str, str]], make, m
                 first = upto
 
     return slim.mapInArrow(run, schema)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the row of ``table`` of their key. ``table`` has each key once, and in ``n`` how many rows have it.
+
+    Keys of more than a five-thousandth of all rows, so 5000 keys at most, are broadcast: none of them lands in one task.
+    """
+    often = max(1000, (table.agg(F.sum(n)).first()[0] or 0) // 5000)
+    hot = table.filter(F.col(n) > often)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(n) <= often).hint("merge"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

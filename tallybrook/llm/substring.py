@@ -1,25 +1,28 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
 Removed is every word that a window of ``WINDOW`` words covers whose words also start earlier: in a document of
-smaller id, or earlier in the same. Windows are judged on the input. All copies of a text are one string of the
-tree; where the first copy starts, the others start later.
-
-- Of the suffixes, those count whose window repeats. In each window the ``PREFIX`` words of least hash are its
-  anchor; equal windows have equal anchors, so a window whose anchor occurs once does not repeat. Blocks of
-  documents (see blocks.py) announce the hashes of their anchors and are told which occur elsewhere.
-- The other windows are put in groups by their anchor, the first prefix. An anchor with more than ``HEAVY``
-  places would not fit a group: its prefix is lengthened to the whole window, which is a node of the tree by
-  itself; only its first place is asked for, and each block sends one row for it at most.
-- In a group the subtree is made from the words themselves: its suffixes are sorted to the depth of a window
-  by doubling, and those that agree so deep are leaves of one internal node. All but its first leaf repeat.
-
-No group outgrows memory, whatever repeats; what goes between tasks is packed arrays, and texts are shuffled
-only where windows may repeat. The result is exact: hashes pick candidates, words decide; at whole-window
-prefixes 128 bits of hash stand for the words.
-
-Cases: a null text has no words and stays null. Texts shorter than a window stay whole. Rows of equal id and
-different text follow by their place in the input. A null id is before all others. Repeated rows are copies.
-Columns that clash with new ones are dropped. An empty table gives an empty result.
+smaller id, or earlier in the same. Windows are judged on the input. Of equal texts only the first is a string of
+the trees; all words of the others start later (if there is a window at all).
+
+1. While documents are stored in blocks (blocks.py), suffixes are counted by the hash of their first 5, 10 and 15
+   words, in ``BUCKETS`` buckets a length. A suffix' prefix is the shortest of these whose bucket holds ``GROUP``
+   suffixes at most, else the whole window: prefixes grow until what shares them fits memory.
+2. A sieve leaves out suffixes that no other one follows to the depth of a window: in each window the five words of
+   least hash are its anchor, equal windows have equal anchors, and an anchor that occurs once rules its windows out.
+3. Each other suffix goes to the group of its prefix, once for each block and window, as a path label (a hash of the
+   whole window under another seed) with its document. Groups hold some ``GROUP`` suffixes.
+4. A group's subtree is made by sorting its suffixes by prefix and label; suffixes that agree in both hang under one
+   internal node as deep as a window, a repeat. The node's first leaf stays, and its block is told so.
+5. Each block takes out the words of all windows of which it doesn't hold the first leaf.
+
+Blocks exchange plain rows of five numbers; a prefix that everything shares is lengthened, and what even shares its
+window comes once from each block. Prefix and label are 64 bits each, of two seeds: 128 bits stand for a window's
+words, and 128 bits of BLAKE2 for a text; neither is compared word by word afterwards.
+
+Cases: a null text has no words and stays null. Texts shorter than a window stay whole, and a text of which nothing
+is removed stays as it is, white space included. Rows of equal id and different text follow by the BLAKE2 digest of
+their text. A null id is before all others. Repeated rows are copies. Columns that clash with new ones are dropped.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +35,13 @@ from . import blocks as B
 from .blocks import U
 from .common import cut
 
-WINDOW, PREFIX = 20, 5
-#: Places of a prefix that still go in a group.
-HEAVY = 1024
-#: Anchors of a part of the hash range, and of a group.
-PART, GROUP = 1 << 17, 1 << 12
-SEP = b" "
+WINDOW, ANCHOR = 20, 5
+#: Prefix lengths before the whole window.
+PREFIXES = (5, 10, 15)
+BUCKETS = 1 << 18
+#: Suffixes of a group, and of a prefix' bucket that isn't lengthened.
+GROUP = 1 << 17
+ONE, TWO = 1, 2
 
 
 def slide(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -49,196 +53,132 @@ def slide(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(out[: len(x) - n + 1], out[n - size : n - size + len(x) - n + 1]) if n > size else out
 
 
-class Texts:
-    """Words of a block's documents, one after the other, with their anchors."""
-
-    def __init__(self, raw: list[bytes], second: bool = False):
-        self.raw = b"\n".join(raw)
-        self.h, self.starts, self.ends = _hasher(1).words(self.raw)
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        self.first = np.searchsorted(self.starts, begin)  # of each document
-        self.n = np.diff(np.append(self.first, len(self.h)))
-        self.doc = np.repeat(np.arange(len(raw)), self.n)
-        if second:
-            self.h2 = _hasher(2).words(self.raw)[0]
-        g = B.grams(self.h, PREFIX)
-        w = WINDOW - PREFIX + 1
-        n = len(self.h)
-        self.anchors, self.low, self.high, self.key = (np.zeros(0, np.int64) for _ in range(4))
-        if n < WINDOW:
-            return
-        least = slide(g, w, np.minimum)  # of the window from each place
-        inside = self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :]
-        where = np.flatnonzero(inside)
-        if not len(where):
+class Suffixes(B.Words):
+    """Words of a block's texts, and the suffixes of a window at least with the anchors of their windows."""
+
+    def __init__(self, texts: list[bytes]):
+        super().__init__(texts, ONE)
+        self.where = self.inside(WINDOW)
+        g, w = B.grams(self.h, ANCHOR), WINDOW - ANCHOR + 1
+        self.key, self.low, self.high = np.zeros(0, U), self.where[:0], self.where[:0]
+        if not len(self.where):
             return
-        # the last place of the least hash: from each place on, the next one that holds that hash is searched in turn
-        anchor = np.full(len(where), -1, np.int64)
-        want = least[where]
-        for d in range(w):
-            hit = g[where + d] == want
-            anchor[hit] = where[hit] + d
+        want = slide(g, w, np.minimum)[self.where]
+        anchor = np.full(len(self.where), -1, np.int64)
+        for d in range(w):  # the last place of the least hash
+            hit = g[self.where + d] == want
+            anchor[hit] = self.where[hit] + d
         # windows of one anchor are neighbours
-        cut_at = np.flatnonzero(np.diff(anchor, prepend=-1) != 0)
-        self.anchors = anchor[cut_at]
-        self.low = where[cut_at]
-        self.high = np.append(where[cut_at[1:] - 1], where[-1])
-        self.key = g[self.anchors]
-
-
-_hashers: dict[int, B.Hasher] = {}
-
+        new = np.flatnonzero(np.diff(anchor, prepend=-1) != 0)
+        self.key = g[anchor[new]]
+        self.low, self.high = self.where[new], np.append(self.where[new[1:] - 1], self.where[-1])
 
-def _hasher(seed: int) -> B.Hasher:
-    if seed not in _hashers:
-        _hashers[seed] = B.Hasher(seed)
-    return _hashers[seed]
+    def under(self, keys: np.ndarray) -> np.ndarray:
+        """The places of suffixes whose window has one of the anchors."""
+        rows = np.flatnonzero(np.isin(self.key, keys))
+        n = self.high[rows] - self.low[rows] + 1
+        return np.repeat(self.low[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
+    def labels(self, at: np.ndarray) -> np.ndarray:
+        return B.grams(B.hashes(self.raw, self.starts, self.ends, TWO), WINDOW)[at]
 
-def _block(uri: str, text: str, firsts: list[int], second: bool = False) -> tuple[np.ndarray, Texts]:
-    texts = B.load(uri, [text]).column(0).take(firsts).to_pylist()
-    return np.array(firsts, np.int64), Texts([(x or "").encode() for x in texts], second)
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U(46)).astype(np.int64)
 
-def _pack(a: np.ndarray) -> bytes:
-    import pyarrow as pa
 
-    raw = a.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+class Statistics:
+    """For the block store: a block's anchors (those that it holds more often, twice), and suffixes by prefix."""
 
+    def __init__(self):
+        self.counts = np.zeros((len(PREFIXES), BUCKETS), np.int64)
 
-def _unpack(b: bytes, kind) -> np.ndarray:
-    import pyarrow as pa
+    def keys(self, texts: list[bytes]) -> np.ndarray:
+        s = Suffixes(texts)
+        for i, n in enumerate(PREFIXES):
+            self.counts[i] += np.bincount(_bucket(B.grams(s.h, n)[s.where]), minlength=BUCKETS)
+        keys, n = np.unique(s.key, return_counts=True)
+        return np.concatenate((keys, keys[n > 1])).view(np.int64)
 
-    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True), kind)
+    def sums(self) -> np.ndarray:
+        return self.counts.ravel()
 
 
-def _split(part: np.ndarray, n: int) -> list[np.ndarray]:
-    """Places of each part's rows."""
-    order = np.argsort(part, kind="stable")
-    return np.split(order, np.searchsorted(part[order], np.arange(1, n))) if n else []
-
-
-def _repeated(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each list's keys, whether they occur twice or more in all, and whether more than ``HEAVY`` times."""
-    all_keys, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(all_keys), np.int64)
-    np.add.at(total, back, np.concatenate(counts))
-    ends = np.cumsum([len(k) for k in keys])[:-1]
-    n = np.split(total[back], ends)
-    return [x > 1 for x in n], [x > HEAVY for x in n]
-
+def prefixes(s: Suffixes, at: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """The hash of each suffix' prefix, lengthened until its bucket isn't ``crowded`` (a row of bits a length)."""
+    out = B.mix(B.grams(s.h, WINDOW)[at], np.full(len(at), WINDOW, U))
+    for n, row in zip(reversed(PREFIXES), crowded[::-1], strict=True):
+        h = B.grams(s.h, n)[at]
+        fits = ~row[_bucket(h)]
+        out[fits] = B.mix(h[fits], np.full(fits.sum(), n, U))
+    return out
 
-def deep_leaves(ids: np.ndarray, at: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """The node at ``depth`` under which the suffixes at ``at`` hang: their rank among suffixes sorted so deep.
 
-    ids: word ids; ranks are doubled, as in the making of a suffix array, up to the depth.
-    """
-    rank, size = ids.astype(np.int64), 1
-    while size < depth:
-        step = min(size, depth - size)
-        width = int(rank.max()) + 1
-        pair = rank[: len(rank) - step] * width + rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        size += step
-    return rank[at]
+def deep_nodes(prefix: np.ndarray, label: np.ndarray, order: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The subtree's leaves sorted by prefix, label and ``order``; and where in that sorting the nodes begin, as
+    deep as a window, under which they hang."""
+    by = np.lexsort((*order[::-1], label, prefix))
+    new = np.ones(len(by), bool)
+    new[1:] = (prefix[by][1:] != prefix[by][:-1]) | (label[by][1:] != label[by][:-1])
+    return by, np.flatnonzero(new)
 
 
-def first_leaves(node: np.ndarray, order: list[np.ndarray]) -> np.ndarray:
-    """Whether each leaf is its node's first in the lexicographic order of ``order``."""
-    by = np.lexsort((*order[::-1], node))
-    new = np.diff(node[by], prepend=-1) != 0
-    out = np.zeros(len(node), bool)
-    out[by[new]] = True
-    return out
+def _suffixes(uri: str, text: str, idx: list[int], keys: list[int]) -> tuple[Suffixes, np.ndarray]:
+    s = Suffixes(B.texts(uri, text, idx))
+    return s, s.under(np.array(keys, np.int64).view(U))
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with its texts' kept words joined by one space, and n_words and n_removed."""
+    """``docs`` with repeats cut out of their texts, and n_words and n_removed."""
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     docs = docs.select(*(F.col(c).cast("string").alias(c) if c == text else F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in kept))
-    index = B.store(docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))), text)
-    # blocks by name: their number is a place in that order
-    uris = index.groupBy("block").agg(F.sum("n_words").alias("words"))
-    number = cut(uris.withColumn("no", (F.row_number().over(Window.orderBy("block")) - 1).cast("int")))
-    words = number.agg(F.sum("words")).first()[0] or 0
-    anchors = words * 2 // (WINDOW - PREFIX + 2) + 1
-    parts, groups = max(8, anchors // PART), max(16, anchors // GROUP)
+    index, sums = B.store(docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))), text, Statistics)
+    spark, counts = docs.sparkSession, B.total(sums)
+    crowded = (counts if counts is not None else np.zeros(len(PREFIXES) * BUCKETS, np.int64)).reshape(-1, BUCKETS) > GROUP
+    crowded = spark.sparkContext.broadcast(crowded)  # a byte for each bucket and length
+    number = index.filter("idx = 0").select("no", "block")
     n_blocks = max(1, number.count())
 
-    firsts = _first_texts(index, number)
-    todo = firsts.repartition(n_blocks, "no")
+    # the sieve: anchors that occur more than once, for the blocks that hold them
+    told = index.filter("keys is not null").select("no", F.explode("keys").alias("key"))
+    met = told.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").groupBy("no").agg(F.collect_set("key").alias("keys"))
+    first = index.filter(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min(F.struct("id", "no", "idx")).alias("f"))
+    ties = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
+    firsts = first.select("f.no", F.struct("f.idx", "f.id", ties.alias("tie")).alias("f")).groupBy("no").agg(F.array_sort(F.collect_list("f")).alias("firsts"))
+    found = number.join(firsts.hint("merge"), "no", "left").join(met.hint("merge"), "no", "left")
+    todo = cut(found.select("no", "block", F.col("firsts.idx").alias("idx"), F.col("firsts.id").alias("ids"), F.col("firsts.tie").alias("ties"), F.coalesce("keys", F.array().cast("array<long>")).alias("keys")))
 
-    # 1. anchors of each block, by parts of the hash range
-    def announce(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for no, uri, idx in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, counts = np.unique(_block(uri, text, idx)[1].key, return_counts=True)
-                rows = [(p, no, _pack(keys[r].astype("<u8")), _pack(counts[r].astype("<u4"))) for p, r in enumerate(_split((keys % U(parts)).astype(np.int64), parts)) if len(r)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["part", "no", "keys", "counts"])
-
-    told = todo.select("no", "block", "firsts").mapInArrow(announce, "part int, no int, keys binary, counts binary")
-
-    def meet(table):
-        import pyarrow as pa
-
-        keys = [_unpack(x, "<u8") for x in table.column("keys").to_pylist()]
-        some, many = _repeated(keys, [_unpack(x, "<u4") for x in table.column("counts").to_pylist()])
-        light = [_pack(k[s & ~m]) for k, s, m in zip(keys, some, many, strict=True)]
-        heavy = [_pack(k[m]) for k, m in zip(keys, many, strict=True)]
-        return pa.table({"no": table.column("no"), "light": pa.array(light, pa.binary()), "heavy": pa.array(heavy, pa.binary())})
-
-    met = told.groupBy("part").applyInArrow(meet, "no int, light binary, heavy binary")
-    back = cut(met.groupBy("no").agg(F.collect_list("light").alias("light"), F.collect_list("heavy").alias("heavy")).join(firsts.hint("merge"), "no"))
-
-    # 2. windows of repeated anchors: their words by group, or a hash of the whole window
     def send(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for no, uri, idx, light, heavy in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                where, t = _block(uri, text, idx, second=True)
-                ids = np.array(B.load(uri, ["__id"]).column(0).to_pylist(), np.int64)[where]
-                keys = np.concatenate([_unpack(x, "<u8") for x in light])
-                rows = np.flatnonzero(np.isin(t.key, keys))
-                out = []
-                by = _split((B.mix(t.key[rows], t.key[rows]) % U(groups)).astype(np.int64), groups)
-                for g, r in enumerate(by):
-                    if len(r):
-                        r = rows[r]
-                        d = t.doc[t.low[r]]
-                        out.append((0, g, no, _payload(t, r), _pack(np.stack((d, ids[d], t.low[r] - t.first[d], t.high[r] - t.low[r] + 1)).astype("<i8"))))
-                places, k1, k2 = _heavy(t, np.concatenate([_unpack(x, "<u8") for x in heavy]))
-                if len(places):
-                    # a block's first place of each window
-                    d = t.doc[places]
-                    node = np.unique(np.stack((k1, k2)), axis=1, return_inverse=True)[1].ravel()
-                    own = np.flatnonzero(first_leaves(node, [ids[d], d, places]))
-                    for p, r in enumerate(_split((k1[own] % U(parts)).astype(np.int64), parts)):
-                        if len(r):
-                            r = own[r]
-                            d = t.doc[places[r]]
-                            out.append((1, p, no, _pack(np.stack((k1[r], k2[r])).astype("<u8")), _pack(np.stack((d, ids[d], places[r] - t.first[d])).astype("<i8"))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["kind", "grp", "no", "what", "places"])
-
-    sent = back.repartition(n_blocks, "no").select("no", "block", "firsts", "light", "heavy").mapInArrow(send, "kind int, grp int, no int, what binary, places binary")
-
-    def resolve(table):
+            for no, uri, idx, ids, ties, keys in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                s, at = _suffixes(uri, text, idx, keys)
+                prefix, label, doc = prefixes(s, at, crowded.value), s.labels(at), s.doc[at]
+                id_, tie = np.array(ids, np.int64)[doc], np.array(ties, np.int64)[doc]
+                by, node = deep_nodes(prefix, label, (id_, tie, at))
+                one = np.sort(by[node])  # once for each window, in the order of documents
+                for lo in range(0, len(one), 20_000):
+                    r = one[lo : lo + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (prefix[r].view(np.int64), label[r].view(np.int64), id_[r], tie[r], np.full(len(r), no))], ["prefix", "label", "id", "tie", "no"])
+
+    some = todo.filter("idx is not null and size(keys) > 0")
+    sent = B.by_block(some, n_blocks).mapInArrow(send, "prefix long, label long, id long, tie long, no long")
+    most = some.agg(F.sum(F.size("keys"))).first()[0] or 0
+    groups = max(8, most * (WINDOW - ANCHOR + 2) // 2 // GROUP)
+
+    def subtree(table):
         import pyarrow as pa
 
-        nos = np.array(table.column("no").to_pylist(), np.int64)
-        what, places = table.column("what").to_pylist(), table.column("places").to_pylist()
-        rows = _tree(nos, what, places) if table.column("kind")[0].as_py() == 0 else _nodes(nos, what, places)
-        return pa.table({"no": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "marks": pa.array([r[2] for r in rows], pa.binary())})
+        prefix, label, id_, tie, no = (table.column(i).to_numpy() for i in range(5))
+        by, node = deep_nodes(prefix, label, (id_, tie, no))
+        leaf = by[node]
+        return pa.table({"no": no[leaf], "label": label[leaf]})
 
-    marks = sent.groupBy("kind", "grp").applyInArrow(resolve, "no int, kind int, marks binary")
-    per_block = marks.groupBy("no").agg(F.collect_list(F.struct("kind", "marks")).alias("marks"))
-    last = number.select("no", "block").join(back.select("no", "firsts", "heavy").hint("merge"), "no", "left").join(per_block.hint("merge"), "no", "left")
+    grouped = sent.groupBy(F.pmod(F.xxhash64("prefix"), F.lit(groups)))
+    owned = grouped.applyInArrow(subtree, "no long, label long").groupBy("no").agg(F.collect_list("label").alias("owned"))
+    last = todo.join(owned.hint("merge"), "no", "left")
 
-    # 3. each block takes its words out
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_words long", "n_removed long"])
     place = kept.index(text)
 
@@ -246,108 +186,53 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for uri, idx, heavy, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for uri, idx, ids, ties, keys, owned in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 table = B.load(uri)
-                raw = [(x or "").encode() for x in table.column(place).to_pylist()]
-                left = _take_out(raw, idx or [], heavy or [], found or [])
-                texts = [None if x is None else y for x, (y, _, _) in zip(table.column(place).to_pylist(), left, strict=True)]
-                columns = [pa.array(texts, pa.string()) if i == place else table.column(i).combine_chunks() for i in range(len(kept))]
-                columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-                yield from pa.table([*columns, pa.array([x[1] for x in left], pa.int64()), pa.array([x[2] for x in left], pa.int64())], [*kept, "n_words", "n_removed"]).to_batches(max_chunksize=2000)
-
-    return last.repartition(n_blocks, "no").select("block", "firsts", "heavy", "marks").mapInArrow(take_out, schema)
-
-
-def _first_texts(index: DataFrame, number: DataFrame) -> DataFrame:
-    """no, block, firsts: the places of those documents whose text, of a window at least, no earlier one has."""
-    long = index.filter(F.col("n_words") >= WINDOW)
-    first = long.groupBy("digest").agg(F.min(F.struct("id", "block", "idx")).alias("f")).select("f.block", "f.idx")
-    return cut(first.groupBy("block").agg(F.sort_array(F.collect_list("idx")).alias("firsts")).join(number.select("no", "block").hint("merge"), "block"))
-
-
-def _payload(t: Texts, rows: np.ndarray) -> bytes:
-    """The words that the windows of each anchor cover, in one text; a line for each anchor."""
-    starts, ends = t.starts[t.low[rows]].tolist(), t.ends[t.high[rows] + WINDOW - 1].tolist()
-    return _pack(np.frombuffer(b"\n".join([SEP.join(t.raw[s:e].split()) for s, e in zip(starts, ends, strict=True)]), np.uint8))
-
-
-def _heavy(t: Texts, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the windows under heavy anchors, and two hashes of each."""
-    rows = np.flatnonzero(np.isin(t.key, keys)) if len(keys) else np.zeros(0, np.int64)
-    n = t.high[rows] - t.low[rows] + 1
-    places = np.repeat(t.low[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    if not len(places):
-        return places, places.astype(U), places.astype(U)
-    return places, B.grams(t.h, WINDOW)[places], B.grams(t.h2, WINDOW)[places]
-
-
-def _tree(nos, what, places) -> list[tuple]:
-    """Marks of a group's windows that are not the first leaf of their node: no, 0, (document, place) pairs."""
-    known: dict[bytes, int] = {}
-    ids, sizes, rows = [], [], []
-    for no, w, p in zip(nos, what, places, strict=True):
-        info = _unpack(p, "<i8").reshape(4, -1)
-        lines = _unpack(w, np.uint8).tobytes().split(b"\n")
-        for line in lines:
-            found = [known.setdefault(x, len(known)) for x in line.split()]
-            ids += found
-            sizes.append(len(found))
-        rows.append(np.vstack((np.full(info.shape[1], no), info)))
-    info, sizes = np.concatenate(rows, axis=1), np.array(sizes)
-    begin = np.cumsum(sizes) - sizes
-    n = info[4]
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    node = deep_leaves(np.array(ids), np.repeat(begin, n) + step)
-    no, doc, doc_id, low = (np.repeat(info[i], n) for i in range(4))
-    at = low + step
-    later = ~first_leaves(node, [doc_id, no, doc, at])
-    return [(int(b), 0, _pack(np.stack((doc[r], at[r])).astype("<i8"))) for b in np.unique(no[later]) for r in [np.flatnonzero(later & (no == b))]]
-
-
-def _nodes(nos, what, places) -> list[tuple]:
-    """Of whole-window prefixes, those whose first place is in the block: no, 1, (document, place) pairs."""
-    keys = [_unpack(w, "<u8").reshape(2, -1) for w in what]
-    info = np.concatenate([np.vstack((np.full(k.shape[1], no), _unpack(p, "<i8").reshape(3, -1))) for no, k, p in zip(nos, keys, places, strict=True)], axis=1)
-    node = np.unique(np.concatenate(keys, axis=1), axis=1, return_inverse=True)[1].ravel()
-    first = first_leaves(node, [info[2], info[0], info[1], info[3]])
-    return [(int(b), 1, _pack(info[[1, 3]][:, r].astype("<i8"))) for b in np.unique(info[0][first]) for r in [np.flatnonzero(first & (info[0] == b))]]
-
-
-def _take_out(raw: list[bytes], idx: list[int], heavy: list[bytes], found: list[dict]) -> list[tuple[str, int, int]]:
-    """Kept text, words and removed words of each document. What isn't in ``idx`` copies an earlier text, or is short."""
-    rank = {d: i for i, d in enumerate(idx)}
-    gone: dict[int, list] = {}
-    if idx:
-        pairs = [_unpack(x["marks"], "<i8").reshape(2, -1) for x in found if x["kind"] == 0]
-        keys = [_unpack(x, "<u8") for x in heavy]
-        keys = np.concatenate(keys) if keys else np.zeros(0, U)
-        if len(keys):
-            t = Texts([raw[i] for i in idx])
-            rows = np.flatnonzero(np.isin(t.key, keys))
-            n = t.high[rows] - t.low[rows] + 1
-            places = np.repeat(t.low[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            d = t.doc[places]
-            firsts = [_unpack(x["marks"], "<i8").reshape(2, -1) for x in found if x["kind"] == 1]
-            own = np.concatenate([t.first[f[0]] + f[1] for f in firsts]) if firsts else np.zeros(0, np.int64)
-            later = ~np.isin(places, own)
-            pairs.append(np.stack((d[later], places[later] - t.first[d[later]])))
-        for p in pairs:
-            for doc in np.split(np.arange(p.shape[1])[np.argsort(p[0], kind="stable")], np.flatnonzero(np.diff(np.sort(p[0]))) + 1) if p.shape[1] else []:
-                gone.setdefault(int(p[0][doc[0]]), []).append(p[1][doc])
-    out = []
-    for i, x in enumerate(raw):
-        words = x.split()
-        n = len(words)
-        at = gone.get(rank.get(i, -1)) if i in rank else None
-        if i not in rank and n >= WINDOW:
-            out.append(("", n, n))
-        elif at is None:
-            out.append((b" ".join(words).decode(), n, 0))
-        else:
-            edge = np.zeros(n + 1, np.int64)
-            where = np.unique(np.concatenate(at))
-            np.add.at(edge, where, 1)
-            np.add.at(edge, where + WINDOW, -1)
-            stay = np.flatnonzero(np.cumsum(edge)[:n] == 0).tolist()
-            out.append((b" ".join([words[j] for j in stay]).decode(), n, n - len(stay)))
-    return out
+                raw = B.binary(table.column(place))
+                gone = later(raw, idx or [], ids or [], ties or [], keys, owned or [])
+                left = [without(x, gone[i] if i in gone else None) for i, x in enumerate(raw)]
+                texts = [y[0] if there else None for there, y in zip(table.column(place).is_valid().to_pylist(), left, strict=True)]
+                columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == place else table.column(i) for i in range(len(kept))]
+                yield from pa.table([*columns, pa.array([x[1] for x in left], pa.int64()), pa.array([x[2] for x in left], pa.int64())], [*kept, "n_words", "n_removed"]).combine_chunks().to_batches(max_chunksize=500)
+
+    return B.by_block(last.select("block", "idx", "ids", "ties", "keys", "owned"), n_blocks).mapInArrow(take_out, schema)
+
+
+def later(raw: list[bytes], idx: list[int], ids: list[int], ties: list[int], keys: list[int], owned: list[int]) -> dict[int, np.ndarray | bool]:
+    """Of each text that loses words, the places of its windows that also start earlier; True: all of a copy."""
+    first = set(idx)
+    gone = {i: True for i, x in enumerate(raw) if i not in first}
+    if idx and keys:
+        s = Suffixes([raw[i] for i in idx])
+        at = s.under(np.array(keys, np.int64).view(U))
+        label, doc = s.labels(at), s.doc[at]
+        by, node = deep_nodes(np.zeros(len(at), U), label, (np.array(ids, np.int64)[doc], np.array(ties, np.int64)[doc], at))
+        stays = by[node][np.isin(label[by[node]], np.array(owned, np.int64).view(U))]
+        lost = np.ones(len(at), bool)
+        lost[stays] = False
+        at = np.sort(at[lost])
+        for part in np.split(at, np.flatnonzero(np.diff(s.doc[at])) + 1) if len(at) else []:
+            d = int(s.doc[part[0]])
+            gone[idx[d]] = part - s.first[d]
+    return gone
+
+
+def without(raw: bytes, gone: np.ndarray | bool | None) -> tuple[bytes, int, int]:
+    """A text without the words of the windows at ``gone`` (True: it copies an earlier text, if it has a window),
+    its words and how many were removed. What stays keeps the white space before it."""
+    if gone is None or gone is True:
+        n = len(raw.split())
+        return (b"", n, n) if gone is True and n >= WINDOW else (raw, n, 0)
+    starts, ends = B.split(raw)
+    n = len(starts)
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, gone, 1)
+    np.add.at(edge, gone + WINDOW, -1)
+    stays = np.cumsum(edge)[:n] == 0
+    # runs of words that stay: each from the end of what stays before it, or with its own first word
+    turn = np.flatnonzero(np.diff(np.concatenate(([False], stays, [False])).view(np.int8)))
+    parts = []
+    for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+        begin = 0 if a == 0 else int(starts[a]) if not parts else int(ends[a - 1])
+        parts.append(raw[begin : len(raw) if b == n else int(ends[b - 1])])
+    return b"".join(parts), n, n - int(stays.sum())
