@@ -5,44 +5,52 @@ coordinates carry most of every product. Candidates are dealt by descending leng
 candidates are taken longest first, some at a time: the product over the leading coordinates plus the lengths
 of both rests (Cauchy-Schwarz) bounds each score, and only pairs whose bound reaches the query's k-th best
 score so far are multiplied out, in whole numbers. The block of the longest vectors comes first and gives
-every query a threshold; of later blocks, those whose longest vector can't reach it are passed over.
-
-Queries go in blocks of ``QUERIES`` rows, candidates in blocks of ``ROWS``. Every block of queries meets every
-block of candidates through a join on the block's number; no list of vectors passes through the driver, only the
-dimension-square matrix of sums. Broadcast is one block of candidates: ``ROWS`` vectors at most.
-
-Cases: a vector that is null or has null or non-finite components, or a null id, takes no part. Rows of one id
-are one vector, the least. Shorter vectors are as if filled up with zeros. Equal scores go to the smaller id.
-With fewer than k candidates all are returned. Components must stay below 2^22 in whole numbers. Further columns
-are not read. An empty table, or one without queries, gives an empty result.
+every query a threshold; later blocks whose longest vector can't reach that of any query of a block of queries
+are not sent to it.
+
+Queries go in blocks of ``QUERIES`` rows, candidates in blocks of ``ROWS`` (fewer if they are wide: ``BYTES``). A
+block of queries meets blocks of candidates through a join on the block's number; no list of vectors passes
+through the driver, only the dimension-square matrix of sums and counts of blocks by the logarithm of their
+length. Broadcast is one block of candidates: ``BYTES`` at most.
+
+Cases: every row is a vector of its own, also where ids repeat, and a candidate of all rows but itself. A vector
+that is null or has null or non-finite components, or a null id, takes no part; an empty one is zero. Shorter
+vectors are as if filled up with zeros. Equal scores go to the smaller id. With fewer than k candidates all are
+returned. A component that isn't below 2^62 in whole numbers, or a score that doesn't fit a long, is an error.
+Further columns are not read. An empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 K, ROWS, QUERIES, STEP = 10, 4096, 256, 512
+BYTES = 8 << 20
 #: The part of all squared lengths that the leading coordinates carry.
 ENERGY = 0.7
-FLOOR = -(1 << 62)
+FLOOR = -(1 << 63)
+#: Steps of a doubling of length by which blocks are counted.
+FINE = 8
 
 
 def whole(vectors: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
-    """vec_id, v (floor(scale * component), array<int>): a row for each id with a usable vector."""
-    x = F.transform(vector, lambda c: c.cast("double"))
-    fine = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    some = vectors.filter(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("int")).alias("v"))
-    return some.groupBy("vec_id").agg(F.min("v").alias("v"))
+    """vec_id, v (floor(scale * component), array<long>), row (its number): a row for each usable vector."""
+    scaled = F.transform(vector, lambda c: c.cast("double") * F.lit(scale))
+    fine = F.col(vector).isNotNull() & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    number = lambda c: F.when(F.abs(c) < F.lit(2.0**62), F.floor(c)).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+    return vectors.filter(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(scaled, number).alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def _matrix(column, width: int) -> np.ndarray:
     offsets = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(offsets), width), np.int32)
+    out = np.zeros((len(offsets), width), np.int64)
     out[np.arange(width) < offsets[:, None]] = flat
     return out
 
@@ -56,7 +64,7 @@ def rotation(vectors: DataFrame) -> tuple[np.ndarray, int]:
 
         total = np.zeros((width, width))
         for b in batches:
-            m = _matrix(b.column(0), width).astype(float)
+            m = _matrix(b.column(0), width).astype(float)  # rounding only turns the basis a little
             total += m.T @ m
         yield pa.RecordBatch.from_pydict({"i": pa.array(range(width), pa.int32()), "row": pa.array(total.tolist(), pa.list_(pa.float64()))})
 
@@ -71,32 +79,32 @@ def rotation(vectors: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def blocks(vectors: DataFrame, width: int, rows: int) -> DataFrame:
-    """Packs the rows of each partition, in their order, into blocks: ids, m (int32 matrix), longest (length)."""
+    """Packs the rows of each partition, in their order, into blocks: ids, rows, m (matrix), longest (length)."""
 
-    def pack(batches):
+    def packed(ids, nos, m):
         import pyarrow as pa
 
-        ids, mats, held = [], [], 0
-
-        def out():
-            i, m = np.concatenate(ids), np.concatenate(mats)
-            longest = float(np.sqrt((m.astype(float) ** 2).sum(1).max()))
-            return pa.RecordBatch.from_pydict({"ids": pa.array([i.astype("<i8").tobytes()], pa.binary()), "m": pa.array([m.astype("<i4").tobytes()], pa.binary()), "longest": [longest]})
+        small = not m.size or np.abs(m).max() < 1 << 31
+        longest = math.sqrt(float((m.astype(float) ** 2).sum(1).max(initial=0)))
+        cells = [ids.astype("<i8").tobytes(), nos.astype("<i8").tobytes(), m.astype("<i4" if small else "<i8").tobytes()]
+        return pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in cells), pa.array([longest])], ["ids", "rows", "m", "longest"])
 
+    def pack(batches):
+        held, n = [], 0
         for b in batches:
-            i, m = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), width)
-            for first in range(0, len(i), rows):
-                upto = min(len(i), first + rows - held)
-                ids.append(i[first:upto])
-                mats.append(m[first:upto])
-                held += upto - first
-                if held == rows:
-                    yield out()
-                    ids, mats, held = [i[upto : first + rows]], [m[upto : first + rows]], len(i[upto : first + rows])
+            part = (b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), width))
+            first = 0
+            while first < len(part[0]):
+                upto = min(len(part[0]), first + rows - n)
+                held.append([x[first:upto] for x in part])
+                n, first = n + upto - first, upto
+                if n == rows:
+                    yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, n = [], 0
         if held:
-            yield out()
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return vectors.select("vec_id", "v").mapInArrow(pack, "ids binary, m binary, longest double")
+    return vectors.select("vec_id", "row", "v").mapInArrow(pack, "ids binary, rows binary, m binary, longest double")
 
 
 class Best:
@@ -118,19 +126,30 @@ class Best:
         self.least[q[kth]] = s[kth]
 
 
-def scan(q_ids, q, c_ids, c, basis, lead: int, least, k: int) -> tuple[Best, int]:
-    """The best of one block of candidates for one of queries; and how many pairs were multiplied out."""
-    best = Best(len(q_ids), k)
+def products(q: np.ndarray, c: np.ndarray, safe: bool) -> np.ndarray:
+    """Inner products of rows; exact."""
+    if safe:
+        return np.einsum("ij,ij->i", q, c)
+    found = [sum(x * y for x, y in zip(a, b, strict=True)) for a, b in zip(q.tolist(), c.tolist(), strict=True)]
+    if any(not -(1 << 63) < x < 1 << 63 for x in found):
+        raise OverflowError("a score doesn't fit a long")
+    return np.array(found, np.int64)
+
+
+def scan(q_rows, q, c_rows, c_ids, c, basis, lead: int, least, k: int) -> tuple[Best, int, float]:
+    """The best of one block of candidates for one of queries; how many pairs were multiplied out; and the least
+    length of a candidate that could still be among any query's best."""
+    best = Best(len(q_rows), k)
     best.least = np.maximum(best.least, least)
     known = best.least.copy()
     c_len = np.sqrt((c.astype(float) ** 2).sum(1))
     order = np.argsort(-c_len, kind="stable")
-    c_ids, c, c_len = c_ids[order], c[order], c_len[order]
+    c_rows, c_ids, c, c_len = c_rows[order], c_ids[order], c[order], c_len[order]
     qf = q.astype(float)
     qr, cr = qf @ basis, c.astype(float) @ basis
     q_len = np.sqrt((qf**2).sum(1))
     q_rest, c_rest = (np.sqrt((x[:, lead:] ** 2).sum(1)) for x in (qr, cr))
-    done = 0
+    safe, done = float(q_len.max(initial=0)) * float(c_len.max(initial=0)) < 2.0**62, 0
     for first in range(0, len(c), STEP):
         part = slice(first, first + STEP)
         slack = 1e-9 * q_len * c_len[first] + 1e-6
@@ -138,56 +157,70 @@ def scan(q_ids, q, c_ids, c, basis, lead: int, least, k: int) -> tuple[Best, int
         if not len(live):
             break
         bound = qr[live, :lead] @ cr[part, :lead].T + np.outer(q_rest[live], c_rest[part]) + slack[live, None]
-        a, b = np.nonzero((bound >= best.least[live, None]) & (c_ids[part] != q_ids[live, None]))
+        a, b = np.nonzero((bound >= best.least[live, None]) & (c_rows[part] != q_rows[live, None]))
         a, b = live[a], b + first
         done += len(a)
         for lo in range(0, len(a), 1 << 16):
             some = slice(lo, lo + (1 << 16))
-            score = np.einsum("ij,ij->i", q[a[some]].astype(np.int64), c[b[some]].astype(np.int64))
-            best.add(a[some], score, c_ids[b[some]])
+            best.add(a[some], products(q[a[some]], c[b[some]], safe), c_ids[b[some]])
             best.least = np.maximum(best.least, known)
-    return best, done
+    # a query of length zero, or without k candidates yet, may need any
+    open_ = (q_len == 0) | (best.least == FLOOR)
+    reach = np.where(open_, 0.0, best.least.astype(float) * (1 - 1e-8) / np.where(q_len == 0, 1, q_len) - 1e-3)
+    return best, done, float(max(0.0, reach.min(initial=np.inf)))
 
 
 def _scanned(pairs: DataFrame, width: int, basis: np.ndarray, lead: int, k: int) -> DataFrame:
-    """One row for each pair of blocks: qb, least, and the best found as arrays."""
+    """One row for each pair of blocks: qb, least, reach, and the best found as arrays."""
 
     def run(batches):
         import pyarrow as pa
 
-        unpack = lambda b, kind, w: np.frombuffer(b, kind).reshape(-1, w) if w else np.frombuffer(b, kind)
+        ints = lambda b: np.frombuffer(b, "<i8")
         for batch in batches:
             for row in range(batch.num_rows):
-                qb, q_ids, q, least, c_ids, c = (batch.column(i)[row].as_py() for i in range(6))
-                q_ids, c_ids = unpack(q_ids, "<i8", 0), unpack(c_ids, "<i8", 0)
-                least = unpack(least, "<i8", 0) if least else np.full(len(q_ids), FLOOR, np.int64)
-                best, _ = scan(q_ids, unpack(q, "<i4", width), c_ids, unpack(c, "<i4", width), basis, lead, least, k)
-                yield pa.RecordBatch.from_pydict({"qb": [qb], "least": pa.array([best.least.astype("<i8").tobytes()], pa.binary()), "q": pa.array([q_ids[best.q].tolist()], pa.list_(pa.int64())), "i": pa.array([best.i.tolist()], pa.list_(pa.int64())), "s": pa.array([best.s.tolist()], pa.list_(pa.int64()))})
+                qb, q_ids, q_rows, q, least, c_ids, c_rows, c = (batch.column(i)[row].as_py() for i in range(8))
+                q_ids, q_rows, c_ids, c_rows = map(ints, (q_ids, q_rows, c_ids, c_rows))
+                m = [np.frombuffer(x, "<i4" if len(x) == 4 * n * width else "<i8").reshape(n, width).astype(np.int64) for x, n in ((q, len(q_ids)), (c, len(c_ids)))]
+                known = ints(least) if least else np.full(len(q_ids), FLOOR, np.int64)
+                best, _, reach = scan(q_rows, m[0], c_rows, c_ids, m[1], basis, lead, known, k)
+                lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (q_ids[best.q], q_rows[best.q], best.i, best.s)]
+                yield pa.RecordBatch.from_arrays([pa.array([qb]), pa.array([best.least.astype("<i8").tobytes()], pa.binary()), pa.array([reach]), *lists], ["qb", "least", "reach", "q", "r", "i", "s"])
+
+    return pairs.select("qb", "q_ids", "q_rows", "q_m", "least", "ids", "rows", "m").mapInArrow(run, "qb long, least binary, reach double, q array<long>, r array<long>, i array<long>, s array<long>")
+
 
-    return pairs.select("qb", "q_ids", "q_m", "least", "ids", "m").mapInArrow(run, "qb long, least binary, q array<long>, i array<long>, s array<long>")
+def _size_class(length: Column) -> Column:
+    return F.floor(F.log2(length + 1) * FINE).cast("int")
 
 
 def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each row that ``is_query`` (over vec_id) picks."""
+    small_batches(vectors.sparkSession)
     v = cut(whole(vectors, vec_id, vector, scale))
     basis, lead = rotation(v)
     width = len(basis)
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
+    rows = max(16, min(ROWS, BYTES // (8 * max(1, width))))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n = v.count()
-    dealt = v.withColumn("_sq", square).repartitionByRange(max(1, -(-n // ROWS)), F.desc("_sq"), "vec_id").sortWithinPartitions(F.desc("_sq"), "vec_id")
+    dealt = v.withColumn("_sq", length).repartitionByRange(max(1, -(-n // rows)), F.desc("_sq"), "row").sortWithinPartitions(F.desc("_sq"), "row")
     by_length = Window.orderBy(F.desc("longest"), "cb")
     # a row for each block; only its number and length are ranked
-    made = cut(blocks(dealt, width, ROWS).withColumn("cb", F.monotonically_increasing_id()))
+    made = cut(blocks(dealt, width, rows).withColumn("cb", F.monotonically_increasing_id()))
     place = made.select("cb", "longest").withColumn("place", F.row_number().over(by_length) - 1).drop("longest")
     candidates = made.join(place, "cb").drop("cb")
     asked = v.filter(is_query)
-    asked = blocks(asked.repartition(max(1, -(-asked.count() // QUERIES)), "vec_id"), width, QUERIES)
-    asked = cut(asked.select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m")))
-    first = F.broadcast(candidates.filter("place = 0").select(F.lit(0).alias("one"), "ids", "m"))
+    asked = blocks(asked.repartition(max(1, -(-asked.count() // QUERIES)), "row"), width, QUERIES)
+    asked = cut(asked.select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("m").alias("q_m")))
+    first = F.broadcast(candidates.filter("place = 0").select(F.lit(0).alias("one"), "ids", "rows", "m"))
     begun = cut(_scanned(asked.withColumns({"one": F.lit(0), "least": F.lit(None).cast("binary")}).join(first, "one"), width, basis, lead, k))
-    n_blocks = made.count()
-    later = asked.join(begun.select("qb", "least").hint("merge"), "qb").withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(max(1, n_blocks - 1)))))
+    # how many blocks have a length of each class or more: lengths are below 2^126, so these are some thousand classes
+    counts = {r["c"]: r["count"] for r in made.groupBy(_size_class(F.col("longest")).alias("c")).count().collect()}
+    top = max(counts, default=0)
+    as_long = [sum(x for c, x in counts.items() if c >= at) for at in range(top + 1)]
+    reached = F.coalesce(F.get(F.array(*map(F.lit, as_long)), _size_class(F.col("reach"))), F.lit(0))
+    later = asked.join(begun.select("qb", "least", (reached - 1).cast("int").alias("last")).filter("last > 0").hint("merge"), "qb").withColumn("place", F.explode(F.sequence(F.lit(1), F.col("last"))))
     rest = _scanned(later.join(candidates.hint("shuffle_hash"), "place"), width, basis, lead, k)
-    found = begun.unionByName(rest).select(F.explode(F.arrays_zip("q", "i", "s")).alias("x")).select(F.col("x.q").alias("query_id"), F.col("x.i").alias("vec_id"), F.col("x.s").alias("score"))
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = begun.unionByName(rest).select(F.explode(F.arrays_zip("q", "r", "i", "s")).alias("x")).select(F.col("x.q").alias("query_id"), F.col("x.r").alias("row"), F.col("x.i").alias("vec_id"), F.col("x.s").alias("score"))
+    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
