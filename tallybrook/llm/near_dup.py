@@ -1,20 +1,22 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set: its windows of ``SHINGLE`` words, each weighing its count times an inverse document
-frequency. A window is in no more documents than its rarest word, and that bound stands for its frequency: so
-copies of a passage don't make the passage light, and two near copies weigh alike however many there are. Word
-frequencies are counted over all documents, in ``BUCKETS`` hash buckets, a fixed size at any scale.
+frequency, 1 + ln((documents + 1) / (df + 1)). A window is in no more documents than its rarest word, and that word's
+frequency stands for the window's: copies of a passage then don't make the passage light, and two near copies weigh
+alike however many there are. Word frequencies are counted over all documents, in ``BUCKETS`` hash buckets, a fixed
+size at any scale, while the documents are stored in blocks (blocks.py).
 
 From each set ``SAMPLES`` consistent weighted samples are drawn; two sets agree in a sample with the probability
 of their weighted Jaccard similarity. Samples form ``BANDS`` bands of ``ROWS``. Documents are candidates of each
-other where two bands agree (at similarity 0.8 all but some 0.2 % of pairs do, at 0.85 all but 0.02 %). Candidates
-are joined into families by label propagation over links to the least member of each meeting, so no pairs are
-listed. Equal texts are one document throughout.
+other where a band agrees (at similarity 0.8 all but some 0.02 % of pairs do). Candidates are joined into families
+by label propagation over links to the least member of each meeting, so no pairs are listed. Equal texts are one
+document throughout.
 
-A family's texts come from the block store (blocks.py) in cells of ``2 * CELL`` at most: small families share a
-cell, a large one is cut into chunks that meet two by two. A cell multiplies out the exact weighted Jaccard
-similarities of all its texts at once and gives back the links that span its classes; those of all cells, joined
-by label propagation, are the classes. No pair of one family goes unchecked, and no group outgrows a cell.
+A family's texts come from the block store in cells of some ``2 * CELL`` texts and ``2 * CELL_WORDS`` words. Small
+families share a cell. A large one is cut into chunks; all meet the first. What is then one class needs no more
+comparing; only where a family falls into several are the texts outside the largest compared with all others. A cell
+multiplies out the exact weighted Jaccard similarities of its texts at once and gives back the links that span its
+classes; those of all cells, joined by label propagation, are the classes. No link within a family is lost.
 
 Cases: a text of less than ``SHINGLE`` words is one window. Null or empty texts have no windows: each is a class
 of its own. Rows of equal id and different text are different documents. A null id is before all others. Equal
@@ -24,68 +26,66 @@ texts are one class. Columns that clash with new ones are dropped. An empty tabl
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from .blocks import U
-from .common import cut
+from .common import cut, hot_join
 
 SHINGLE, LEAST = 5, 0.8
 ROWS, BANDS = 4, 16
 SAMPLES = ROWS * BANDS
 BUCKETS = 1 << 18
 #: Random values of each sample, which windows pick by their hash.
-DRAWS = 1 << 16
-CELL = 256
+DRAWS = 1 << 14
+CELL, CELL_WORDS = 256, 1 << 17
 #: Windows that are multiplied out at once.
 WIDE = 4096
 NO_ID = -(1 << 63)
+SEED = 3
 
+_draws: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # constant, some 12 MB in each Python worker
 
-def _hasher() -> B.Hasher:
-    if "h" not in _cache:
-        _cache["h"] = B.Hasher(3)
-    return _cache["h"]
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U(46)).astype(np.int64)
 
-_cache: dict = {}
 
+class Frequencies:
+    """For the block store: in how many documents the words of each bucket are."""
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> U(46)).astype(np.int64)
+    def __init__(self):
+        self.df = np.zeros(BUCKETS, np.int64)
 
+    def keys(self, texts: list[bytes]) -> None:
+        w = B.Words(texts, SEED)
+        self.df += np.bincount(np.unique(w.doc * BUCKETS + _bucket(w.h)) % BUCKETS, minlength=BUCKETS)
 
-def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the document of each, and where documents begin."""
-    h, starts, _ = _hasher().words(b"\n".join(raw))
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    first = np.searchsorted(starts, np.cumsum(sizes + 1) - sizes - 1)
-    return h, np.repeat(np.arange(len(raw)), np.diff(np.append(first, len(h)))), first
+    def sums(self) -> np.ndarray:
+        return self.df
 
 
-def frequencies(raw: list[bytes]) -> np.ndarray:
-    h, doc, _ = _words(raw)
-    return np.bincount(np.unique(doc * BUCKETS + _bucket(h)) % BUCKETS, minlength=BUCKETS)
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequencies as weights: 1 in all of n documents."""
+    return (1 + np.log((n + 1) / (df + 1))).astype(np.float32)
 
 
-def vectors(raw: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def vectors(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """document, window hash, weight, and the weight of one count: sorted by document and hash."""
-    h, doc, first = _words(raw)
-    n = np.diff(np.append(first, len(h)))
-    rare = idf[_bucket(h)]
-    g = B.grams(h, SHINGLE)
-    inside = np.flatnonzero(doc[: len(g)] == doc[SHINGLE - 1 :]) if len(g) else np.zeros(0, np.int64)
-    top = rare[inside]
+    w = B.Words(texts, SEED)
+    rare = idf[_bucket(w.h)]
+    inside = w.inside(SHINGLE)
+    who, key, top = [w.doc[inside]], [B.grams(w.h, SHINGLE)[inside]], [rare[inside]]
     for d in range(1, SHINGLE):
-        top = np.maximum(top, rare[inside + d])
-    who, key = doc[inside], g[inside]
-    for i in np.flatnonzero((n > 0) & (n < SHINGLE)).tolist():
-        part = slice(first[i], first[i] + n[i])
-        k = h[part][0]
-        for x in h[part][1:]:
-            k = B.mix(k[None], x[None])[0]
-        who, key, top = np.append(who, i), np.append(key, k), np.append(top, rare[part].max())
+        top[0] = np.maximum(top[0], rare[inside + d])
+    for n in range(1, SHINGLE):  # shorter texts: all their words
+        some = np.flatnonzero(w.n == n)
+        k, t = w.h[w.first[some]], rare[w.first[some]]
+        for d in range(1, n):
+            k, t = B.mix(k, w.h[w.first[some] + d]), np.maximum(t, rare[w.first[some] + d])
+        who.append(some), key.append(k), top.append(t)
+    who, key, top = np.concatenate(who), np.concatenate(key), np.concatenate(top)
     by = np.lexsort((key, who))
     who, key, top = who[by], key[by], top[by]
     new = np.ones(len(key), bool)
@@ -94,12 +94,12 @@ def vectors(raw: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return who[at], key[at], (np.diff(np.append(at, len(key))) * top[at]).astype(np.float32), top[at]
 
 
-def _draws() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def draws() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each sample: r and ln c (c, r of Gamma(2, 1)) and beta (uniform)."""
-    if "draws" not in _cache:
+    if not _draws:
         rng = np.random.default_rng(17)
-        _cache["draws"] = [(rng.gamma(2, 1, DRAWS).astype(np.float32), np.log(rng.gamma(2, 1, DRAWS)).astype(np.float32), rng.random(DRAWS, np.float32)) for _ in range(SAMPLES)]
-    return _cache["draws"]
+        _draws.extend((rng.gamma(2, 1, DRAWS).astype(np.float32), np.log(rng.gamma(2, 1, DRAWS)).astype(np.float32), rng.random(DRAWS, np.float32)) for _ in range(SAMPLES))
+    return _draws
 
 
 def bands(who: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -116,8 +116,8 @@ def bands(who: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.nd
         sizes = np.diff(np.append(begin, len(k)))
         owner = np.repeat(np.arange(len(starts)), sizes)
         made = np.zeros((len(starts), BANDS), U)
-        for j, (r_, c_, b_) in enumerate(_draws()):
-            pick = ((k * U(2 * j + 1) ^ (k >> U(23))) * U(0x9E3779B97F4A7C15) >> U(48)).astype(np.int64)
+        for j, (r_, c_, b_) in enumerate(draws()):
+            pick = ((k * U(2 * j + 1) ^ (k >> U(23))) * U(0x9E3779B97F4A7C15) >> U(50)).astype(np.int64)
             r, b = r_[pick], b_[pick]
             t = np.floor(w / r + b)
             a = c_[pick] - r * (t - b) - r
@@ -173,71 +173,61 @@ def spanning(similar: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _texts(uri: str, text: str, idx: list[int]) -> list[bytes]:
-    return [(x or "").encode() for x in B.load(uri, [text]).column(0).take(idx).to_pylist()]
-
-
-def _idf(spark, number: DataFrame, text: str, n: int):
+def _idf(spark, sums: DataFrame, n: int):
     """Broadcast: the idf of each bucket, ``BUCKETS`` numbers."""
-    span = BUCKETS // 16
-
-    def count(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                table = B.load(uri, [text])
-                f = frequencies([(x or "").encode() for x in table.column(0).to_pylist()]).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([_z(f[i * span : (i + 1) * span]) for i in range(16)], pa.binary())], ["span", "counts"])
-
-    def add(table):
-        import pyarrow as pa
-
-        total = sum(_unz(x) for x in table.column("counts").to_pylist())
-        return pa.table({"span": pa.array([table.column("span")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    rows = number.select("block").mapInArrow(count, "span int, counts binary").groupBy("span").applyInArrow(add, "span int, counts binary").collect()
-    df = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        df[r["span"] * span : (r["span"] + 1) * span] = np.frombuffer(r["counts"], "<i8")
-    return spark.sparkContext.broadcast(weights(df, n))
+    df = B.total(sums)
+    return spark.sparkContext.broadcast(weights(np.zeros(BUCKETS, np.int64) if df is None else df, n))
 
 
-def weights(df: np.ndarray, n: int) -> np.ndarray:
-    """Inverse document frequencies as weights from 1 (in all of n documents) to 2 (in none)."""
-    return (1 + np.log((n + 1) / (df + 1)) / np.log(n + 2)).astype(np.float32)
-
+def _pairwise(chunks, chunk):
+    """Structs (i, j) of those cells of all two chunks in which a document of ``chunk`` stands."""
+    return F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, chunk).alias("i"), F.greatest(k, chunk).alias("j")))
 
-def _z(a: np.ndarray) -> bytes:
-    import pyarrow as pa
 
-    return len(a).to_bytes(8, "little") + pa.compress(a.tobytes(), "zstd", asbytes=True)
+def _chunks(n: str, words: str):
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / CELL), F.ceil(F.col(words) / CELL_WORDS)).cast("int")
 
 
-def _unz(b: bytes) -> np.ndarray:
-    import pyarrow as pa
+def _dealt(chunks):
+    return F.pmod(F.xxhash64("gid"), chunks).cast("int")
 
-    return np.frombuffer(pa.decompress(b[8:], 8 * int.from_bytes(b[:8], "little"), "zstd", asbytes=True), "<i8")
 
+def _first_cells(families: DataFrame) -> DataFrame:
+    """gid, family, i, j: small families share cells (family -1); of a large one, all chunks meet the first."""
+    half = F.lit(0.5)
+    small = (F.col("n") <= CELL * half) & (F.col("words") <= CELL_WORDS * half)
+    n, words = families.filter(small).agg(F.count("*"), F.sum("n_words")).first()
+    bins = max(1, -(-n // (CELL // 2)), -(-(words or 0) // (CELL_WORDS // 2)))
+    shared = families.filter(small).select("gid", F.lit(-1).cast("long").alias("family"), F.pmod(F.xxhash64("family"), F.lit(bins)).cast("int").alias("i"), F.lit(-1).alias("j"))
+    large = families.filter(~small).withColumn("chunks", _chunks("n", "words")).withColumn("chunk", _dealt(F.col("chunks")))
+    meets = F.when((F.col("chunk") == 0) & (F.col("chunks") > 1), F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    return shared.unionByName(large.select("gid", "family", F.lit(0).alias("i"), F.explode(meets).alias("j")))
 
-def _cells(families: DataFrame) -> DataFrame:
-    """gid, label, i, j: the cells that each document of ``families`` (node, label) goes to."""
-    size = families.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
-    small = size.filter(F.col("n") <= CELL // 2).agg(F.sum("n")).first()[0] or 0
-    bins = max(1, -(-small // (CELL // 2)))
-    known = families.join(size.hint("merge"), "label").withColumn("chunks", F.ceil(F.col("n") / CELL).cast("int"))
-    apart = F.col("n") <= CELL // 2
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, chunk).alias("i"), F.greatest(k, chunk).alias("j")))
-    one = F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).cast("int").alias("i"), F.lit(-1).alias("j")))
-    cell = F.explode(F.when(apart, one).otherwise(meets)).alias("c")
-    return known.select(F.col("node").alias("gid"), F.when(apart, F.lit(-1)).otherwise(F.col("label")).alias("label"), cell).select("gid", "label", "c.i", "c.j")
 
+def _second_cells(families: DataFrame, found: DataFrame) -> DataFrame:
+    """gid, family, i, j: of families with more than one part left, those outside the largest meet all others.
 
-def _links(families: DataFrame, number: DataFrame, n_blocks: int, text: str, idf) -> DataFrame:
-    """u, v: pairs of one family that are similar, as many as it takes to join their classes."""
-    asked = _cells(families).withColumns({"no": F.shiftright("gid", 32).cast("int"), "idx": F.col("gid").bitwiseAND((1 << 32) - 1).cast("int")})
-    wanted = asked.groupBy("no").agg(F.collect_list(F.struct("idx", "label", "i", "j")).alias("asked")).join(number.select("no", "block").hint("merge"), "no")
+    ``found``: node, label of what the first cells linked. Cells (i, j): chunks outside the largest part; (i, -1 - j):
+    one of them and one of the largest.
+    """
+    large = families.filter((F.col("n") > CELL // 2) | (F.col("words") > CELL_WORDS // 2)).select("gid", "family", "n_words")
+    parts = large.join(found.select(F.col("node").alias("gid"), "label").hint("merge"), "gid", "left").withColumn("part", F.coalesce("label", "gid"))
+    sizes = parts.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+    by = sizes.groupBy("family").agg(F.max(F.struct("n", "words", "part")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("words").alias("words")).filter("parts > 1")
+    by = by.withColumns({"out_n": F.col("n") - F.col("most.n"), "out_words": F.col("words") - F.col("most.words"), "in_n": F.col("most.n"), "in_words": F.col("most.words")})
+    by = by.select("family", F.col("most.part").alias("largest"), _chunks("out_n", "out_words").alias("outer"), _chunks("in_n", "in_words").alias("inner"))
+    at = parts.join(by.hint("merge"), "family").withColumn("inside", F.col("part") == F.col("largest"))
+    at = at.withColumn("chunk", F.when(F.col("inside"), _dealt(F.col("inner"))).otherwise(_dealt(F.col("outer"))))
+    own = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda k: F.struct(k.alias("i"), (-1 - F.col("chunk")).alias("j")))
+    others = F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda k: F.struct(F.col("chunk").alias("i"), (-1 - k).alias("j")))
+    cells = F.explode(F.when(F.col("inside"), own).otherwise(F.concat(others, _pairwise(F.col("outer"), F.col("chunk"))))).alias("c")
+    return at.select("gid", "family", cells).select("gid", "family", "c.i", "c.j")
+
+
+def _links(cells: DataFrame, number: DataFrame, n_blocks: int, text: str, idf) -> DataFrame:
+    """u, v: pairs of one cell that are similar, as many as it takes to join their classes."""
+    asked = cells.withColumns({"no": F.shiftright("gid", B.PLACE), "idx": F.col("gid").bitwiseAND((1 << B.PLACE) - 1).cast("int")})
+    wanted = asked.groupBy("no").agg(F.collect_list(F.struct("idx", "family", "i", "j")).alias("asked")).join(number.hint("merge"), "no")
 
     def fetch(batches):
         import pyarrow as pa
@@ -245,10 +235,14 @@ def _links(families: DataFrame, number: DataFrame, n_blocks: int, text: str, idf
         for batch in batches:
             for no, uri, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 idx = sorted({r["idx"] for r in rows})
-                found = dict(zip(idx, _texts(uri, text, idx), strict=True))
-                for lo in range(0, len(rows), 500):
-                    some = rows[lo : lo + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array([r["label"] for r in some], pa.int64()), pa.array([r["i"] for r in some], pa.int32()), pa.array([r["j"] for r in some], pa.int32()), pa.array([(no << 32) + r["idx"] for r in some], pa.int64()), pa.array([found[r["idx"]] for r in some], pa.binary())], ["label", "i", "j", "gid", "raw"])
+                found = dict(zip(idx, B.texts(uri, text, idx), strict=True))
+                some, size = [], 0
+                for k, r in enumerate(rows):
+                    some.append(r)
+                    size += len(found[r["idx"]])
+                    if size > 1 << 20 or len(some) == 500 or k == len(rows) - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array([r["family"] for r in some], pa.int64()), pa.array([r["i"] for r in some], pa.int32()), pa.array([r["j"] for r in some], pa.int32()), pa.array([(no << B.PLACE) + r["idx"] for r in some], pa.int64()), pa.array([found[r["idx"]] for r in some], pa.binary())], ["family", "i", "j", "gid", "raw"])
+                        some, size = [], 0
 
     def compare(table):
         import pyarrow as pa
@@ -258,8 +252,8 @@ def _links(families: DataFrame, number: DataFrame, n_blocks: int, text: str, idf
         links = spanning(similar)
         return pa.table({"u": pa.array([gids[a] for a, _ in links], pa.int64()), "v": pa.array([gids[b] for _, b in links], pa.int64())})
 
-    texts = wanted.repartition(n_blocks, "no").select("no", "block", "asked").mapInArrow(fetch, "label long, i int, j int, gid long, raw binary")
-    return texts.groupBy("label", "i", "j").applyInArrow(compare, "u long, v long")
+    texts = B.by_block(wanted.select("no", "block", "asked"), n_blocks).mapInArrow(fetch, "family long, i int, j int, gid long, raw binary")
+    return texts.groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,76 +271,67 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _met(keys: DataFrame) -> DataFrame:
-    """Rows (key, gid) of keys that two or more rows have."""
-    return keys.join(keys.groupBy("key").count().filter("count > 1").select("key").hint("merge"), "key", "left_semi")
-
-
 def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(block, idx, id, gid, first: the class's first document by id) for each row of docs; and the blocks' numbers."""
+    """The index of the stored rows with gid; and of each different text digest, n (rows that have it), the class'
+    first row (``first``: id, gid) and its members (rows). Texts without words are not among them."""
     spark = docs.sparkSession
     stored = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text: F.col(text).cast("string")})
-    index = B.store(stored, text)
-    number = cut(index.groupBy("block").agg(F.count("*").alias("rows")).withColumn("no", (F.row_number().over(Window.orderBy("block")) - 1).cast("int")))
-    n_blocks = max(1, number.count())
-    spread = number.repartition(n_blocks, "no")
-    idf = _idf(spark, spread, text, number.agg(F.sum("rows")).first()[0] or 0)
-    gid = F.shiftleft(F.col("no").cast("long"), 32) + F.col("idx")
-    rows = cut(index.join(F.broadcast(number.select("block", "no")) if n_blocks <= 10_000 else number.select("block", "no").hint("merge"), "block").select("block", "idx", "id", gid.alias("gid"), "digest", "n_words"))
-    # equal texts are one document, named by the first; empty ones stay apart
-    heads = rows.filter("n_words > 0").groupBy("digest").agg(F.min(F.struct("id", "gid")).alias("h")).select("digest", F.col("h.gid").alias("head"))
-    rows = cut(rows.join(heads.hint("merge"), "digest", "left").select("block", "idx", "id", "gid", F.when(F.col("n_words") > 0, F.col("head")).otherwise(F.col("gid")).alias("head"), "n_words"))
-    todo = rows.filter("gid = head and n_words > 0").groupBy("block").agg(F.sort_array(F.collect_list("idx")).alias("idx")).join(number.select("block", "no").hint("merge"), "block")
+    index, sums = B.store(stored, text, Frequencies)
+    index = index.withColumn("gid", B.place(F.col("no"), F.col("idx")))
+    number = index.filter("idx = 0").select("no", "block")
+    n_blocks, idf = max(1, number.count()), _idf(spark, sums, index.count())
+    # equal texts are one document, named by the first
+    heads = cut(index.filter("n_words > 0").groupBy("digest").agg(F.min(F.struct("id", "gid")).alias("first"), F.count("*").alias("n"), F.first("n_words").alias("n_words")).withColumn("gid", F.col("first.gid")))
+    todo = heads.select(F.shiftright("gid", B.PLACE).alias("no"), F.col("gid").bitwiseAND((1 << B.PLACE) - 1).cast("int").alias("idx")).groupBy("no").agg(F.sort_array(F.collect_list("idx")).alias("idx")).join(number.hint("merge"), "no")
 
     def draw(batches):
         import pyarrow as pa
 
         for batch in batches:
             for uri, no, idx in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = _texts(uri, text, idx)
+                raw = B.texts(uri, text, idx)
                 made = bands(*vectors(raw, idf.value)[:3], len(raw)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([(no << 32) + i for i in idx], pa.int64()), pa.array(made.tolist(), pa.list_(pa.int64()))], ["gid", "keys"])
-
-    drawn = cut(todo.repartition(n_blocks, "no").select("block", "no", "idx").mapInArrow(draw, "gid long, keys array<long>"))
-    single = drawn.select("gid", F.posexplode("keys").alias("band", "k")).withColumn("key", F.xxhash64("band", "k"))
-    lively = cut(_met(single.select("key", "gid", "band")).groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("bands")))
-
-    def meetings(keep) -> DataFrame:
-        """gid, key of those twos of a document's bands that ``keep`` picks."""
-        twos = F.flatten(F.transform("bands", lambda x: F.transform(F.filter("bands", lambda y: keep(x["band"], y["band"])), lambda y: F.xxhash64(x["key"], y["key"]))))
-        return lively.select("gid", F.explode(twos).alias("key"))
-
-    # neighbouring bands first: then most of a large family is one node, and all twos of bands link few more
-    nodes = lively.select("gid", F.col("gid").alias("node"))
-    for keep in (lambda i, j: (i % 2 == 0) & (j == i + 1), lambda i, j: i < j):
-        met = meetings(keep).join(nodes.hint("merge"), "gid").select("key", "node").distinct()
-        least = met.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
-        links = met.join(least.hint("merge"), "key").select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
-        to = components(links)
-        nodes = cut(nodes.join(to.hint("merge"), "node", "left").select("gid", F.coalesce("label", "node").alias("node")))
-    families = nodes.select(F.col("gid").alias("node"), F.col("node").alias("label"))
-    labels = components(cut(_links(families, number, n_blocks, text, idf)))
-    joined = rows.join(labels.select(F.col("node").alias("head"), "label").hint("merge"), "head", "left").withColumn("label", F.coalesce("label", "head"))
-    first = joined.groupBy("label").agg(F.min(F.struct("id", "gid")).alias("first"), F.count("*").alias("members"))
-    return joined.join(first.hint("merge"), "label").select("block", "idx", "id", "gid", "first", "members"), number
+                for lo in range(0, len(idx), 2000):
+                    yield pa.RecordBatch.from_arrays([pa.array([(no << B.PLACE) + i for i in idx[lo : lo + 2000]], pa.int64()), pa.array(made[lo : lo + 2000].tolist(), pa.list_(pa.int64()))], ["gid", "keys"])
+
+    drawn = B.by_block(todo.select("block", "no", "idx"), n_blocks).mapInArrow(draw, "gid long, keys array<long>")
+    met = cut(drawn.select("gid", F.posexplode("keys").alias("band", "k")).select("gid", F.xxhash64("band", "k").alias("key")))
+    least = met.groupBy("key").agg(F.min("gid").alias("v"), F.count("*").alias("n")).filter("n > 1")
+    found = components(hot_join(met, least, "key", "n").select(F.col("gid").alias("u"), "v").filter("u <> v").distinct())
+    members = found.select(F.col("node").alias("gid"), F.col("label").alias("family")).join(heads.select("gid", "n_words").hint("merge"), "gid")
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+    families = cut(hot_join(members, sizes, "family", "n"))
+    links = cut(_links(_first_cells(families), number, n_blocks, text, idf))
+    labels = components(links)
+    more = cut(_second_cells(families, labels))
+    if not more.isEmpty():
+        labels = components(links.unionByName(cut(_links(more, number, n_blocks, text, idf))))
+    known = cut(heads.join(labels.select(F.col("node").alias("gid"), "label").hint("merge"), "gid", "left").withColumn("label", F.coalesce("label", "gid")))
+    of_class = known.groupBy("label").agg(F.min("first").alias("of"), F.sum("n").alias("members"), F.count("*").alias("texts"))
+    return index, hot_join(known.select("digest", "n", "label"), of_class, "label", "texts").select("digest", "n", F.col("of").alias("first"), "members")
 
 
 def label(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of its class), members (rows of the class), kept (its first row)."""
-    found, _ = classes(docs.select("doc_id", text), text)
+    index, known = classes(docs.select("doc_id", text), text)
     name = lambda c: F.when(c != NO_ID, c)
-    return found.select(name(F.col("id")).alias("doc_id"), name(F.col("first.id")).alias("class_id"), "members", (F.col("gid") == F.col("first.gid")).alias("kept"))
+    rows = index.filter("n_words > 0").select("id", "gid", "digest")
+    full = hot_join(rows, cut(known), "digest", "n").select(name(F.col("id")).alias("doc_id"), name(F.col("first.id")).alias("class_id"), "members", (F.col("gid") == F.col("first.gid")).alias("kept"))
+    bare = index.filter("n_words = 0").select(name(F.col("id")).alias("doc_id"), name(F.col("id")).alias("class_id"), F.lit(1).cast("long").alias("members"), F.lit(True).alias("kept"))
+    return full.unionByName(bare)
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` but one document of each class only, its first."""
-    found, number = classes(docs, text)
-    stay = found.filter("gid = first.gid").groupBy("block").agg(F.sort_array(F.collect_list("idx")).alias("idx"))
+    index, known = classes(docs, text)
+    stay = known.select(F.col("first.gid").alias("gid")).distinct().unionByName(index.filter("n_words = 0").select("gid"))
+    at = stay.select(F.shiftright("gid", B.PLACE).alias("no"), F.col("gid").bitwiseAND((1 << B.PLACE) - 1).cast("int").alias("idx")).groupBy("no").agg(F.sort_array(F.collect_list("idx")).alias("idx"))
+    number = index.filter("idx = 0").select("no", "block")
     names = docs.columns
 
     def take(batches):
         for batch in batches:
             for uri, idx in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from B.load(uri, names).take(idx).combine_chunks().to_batches(max_chunksize=2000)
+                yield from B.load(uri, names).take(idx).combine_chunks().to_batches(max_chunksize=500)
 
-    return stay.repartition(max(1, number.count()), "block").mapInArrow(take, docs.schema)
+    return B.by_block(at.join(number.hint("merge"), "no").select("block", "idx"), max(1, number.count())).mapInArrow(take, docs.schema)
