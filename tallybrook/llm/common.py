@@ -98,3 +98,11 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
     hot = table.filter(F.col(n) > often)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(n) <= often).hint("merge"), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def constant(one: DataFrame, column: str) -> Column:
+    """The value in the only row of ``one``, as a constant of the plan, which goes from the JVM to the tasks."""
+    spark, kind, name = one.sparkSession, one.schema[column].dataType.simpleString(), f"_{column}_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {kind}")
+    spark.sql(f"SET VARIABLE {name} = (SELECT `{column}` FROM {{one}})", one=one)
+    return F.expr(name)

@@ -188,9 +188,47 @@ def test_quality_is_as_sharp_with_many_n_grams(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.score for r in quality.judge(df, labels).collect()}
     assert max(got[1000 + i] for i in range(3)) < min(got[i] for i in range(200)) - 0.2
-    # ratios that are looked up and ratios that are joined
-    monkeypatch.setattr(quality, "SLOTS", 16)
-    assert {r.doc_id: r.score for r in quality.judge(df, labels).collect()} == got
+
+
+def test_held_out_scores_and_fewer_trusted(spark):
+    """Scores of trusted texts under a model of the others, in plain Python; and the bound on trusted texts."""
+    docs = [(i, " ".join(f"w{(i * 5 + k * k) % 90}" for k in range(60 + i))) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 12, 2)], "doc_id long")
+    counted = quality.counts(df, ids)
+    n, t = counted.agg({"corpus": "sum"}).first()[0], counted.agg({"trusted": "sum"}).first()[0]
+    sample = quality.measure(df.join(ids, "doc_id"))
+    got = sorted(r.score for r in quality.held_out(sample, quality.model(counted, quality.BUCKETS), (n, t), "text", quality.BUCKETS).collect())
+    every = {r.bucket: (r.corpus, r.trusted) for r in counted.collect()}
+    from pyspark.sql import functions as F
+
+    expected = []
+    for i, text in docs[::2]:
+        own = collections.Counter(r.b for r in df.filter(f"doc_id = {i}").select(F.explode(quality._grams(F.col("text"))).alias("h")).select(quality._bucket(F.col("h"), quality.BUCKETS).alias("b")).collect())
+        k = sum(own.values())
+        assert k == 2 * len(text.split()) - 1
+        part = lambda a, b: math.log((a + 0.5) / (b + 0.5 * quality.BUCKETS))
+        expected.append(sum(c * round(quality.UNIT * (part(every[b][1] - c, t - k) - part(every[b][0], n))) for b, c in own.items()) / k / quality.UNIT)
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, sorted(expected), strict=True))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    few = quality.judge(df, labels, trusted=1)
+    assert few.count() == 12 and {r.score for r in few.collect()} != {r.score for r in quality.judge(df, labels).collect()}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_quality_of_held_out_documents_by_language(spark):
+    """Half of the labels of sf0.1 are shown; the good documents of the other half stay, in every language."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{d}/labels.parquet")
+    shown, rest = labels.filter("xxhash64(doc_id) % 2 = 0"), labels.filter("xxhash64(doc_id) % 2 <> 0 and toxic = 0")
+    got = quality.judge(docs, shown).join(rest, "doc_id").filter("not base_failed").groupBy("quality", "lang", "kept").count().collect()
+    n = collections.Counter()
+    for r in got:
+        n[r.quality, r.lang, r.kept] += r["count"]
+    for lang in ("en", "fr", "de", "es"):
+        assert n[1, lang, False] <= 0.03 * n[1, lang, True]
+    junk = [sum(n[0, lang, k] for lang in ("en", "fr", "de", "es")) for k in (False, True)]
+    assert junk[1] <= 0.05 * junk[0]
 
 
 def test_quality_threshold_follows_the_trusted_scores(spark):
