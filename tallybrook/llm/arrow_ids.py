@@ -1,21 +1,23 @@
 """Token ids in Arrow stream files of equal-length sequences, readable at random without copying.
 
 Documents are dealt by ranges of their id, so that the shards' order is the documents' order. Each task encodes
-its documents, strings the ids together and cuts them into sequences of ``LENGTH`` ids. A shard is two Arrow
-stream files in the shared folder:
+its documents, strings the ids together and cuts them into sequences of ``LENGTH`` ids. A shard, of some ``TOKENS``
+ids at most, is two Arrow stream files in the shared folder:
 
 - ``.ids``: columns ``ids`` (fixed-size list of the narrowest unsigned type that holds the vocabulary) and
-  ``mask`` (fixed-size list of bool, false on the padding that ends the shard), ``ROWS`` sequences a batch;
+  ``mask`` (fixed-size list of bytes, 0 on the padding that ends the shard), ``ROWS`` sequences a batch;
 - ``.docs``: columns ``doc_id``, ``start`` (in the shard) and ``n_tokens``.
 
-Batches all have ``ROWS`` rows but the last, so row i of a mapped file is a view at a known place. A task that
-is run again writes files of other names, and only those that the manifest names are read.
+Batches all have ``ROWS`` rows but the last and so one size in bytes: row i is at a known place. Of a mapped file it is
+a view; from a remote one its batch alone is read. A task that is run again writes files of other names, and only
+those that the manifest names are read.
 
-Words (cut at ASCII white space, where no token goes across) are encoded by the library once for each Python
-worker (``CACHE`` words at most; then anew), and their ids joined.
+Words (cut at ASCII white space, where no token goes across) are encoded by the library, each different one of a
+batch once, and what recent batches encoded is kept (``common.Recent``, a bounded size).
 
-Cases: a null or empty text is the end id alone. Rows of equal id follow by a hash of their text; a null id is
-first. Very long texts run over many sequences. Further columns are not written. No rows: no shards.
+Cases: a null or empty text is the end id alone. Rows of equal id follow by a hash of their text, and equal rows by
+their place in the input; a null id is first. Very long texts run over many sequences. Further columns are not
+written. No rows: no shards.
 """
 
 from __future__ import annotations
@@ -30,23 +32,24 @@ from pyspark.sql import functions as F
 
 from .blocks import files
 from .bpe_count import byte_symbols
-from .common import cut, fresh_path
+from .common import Recent, cut, fresh_path, small_batches
 
-CACHE = 1 << 20
 LENGTH, ROWS = 1024, 256
+#: Ids of a shard, beyond which a document starts another; and bytes of text for each task.
+TOKENS, SHARE = 1 << 24, 32 << 20
 END = 1
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
-class Words(dict):
-    """The ids of each word, as bytes, made when first asked for."""
+class Words:
+    """The ids of words, as bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.known = Recent(1 << 17)
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -54,29 +57,30 @@ class Words(dict):
         self.plain = spec["model"].get("end_of_word_suffix") == "</w>" and kinds == ["NFC", "Replace", "Lowercase"]
         self.symbols = {b: c for b, c in enumerate(byte_symbols())}
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        m = self.plain and SIMPLE.fullmatch(text)
-        if m:
-            ids = self._core(m[1].lower())
-            if m[2]:
-                ids = ids + self._core(m[2])
-        else:
-            ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
-
-    def _core(self, core: str) -> bytes:
-        key = core.encode()
-        found = self.get(key)
-        if found is None:
-            found = self[key] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(key.decode("latin-1").translate(self.symbols))]).tobytes()
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.encode().split()))
+    def learn(self, new: list[bytes]) -> list[bytes]:
+        cores: dict[str, bytes] = {}
+
+        def core(text: str) -> bytes:
+            found = cores.get(text)
+            if found is None:
+                tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))
+                found = cores[text] = array(self.code, [t.id for t in tokens]).tobytes()
+            return found
+
+        out = []
+        for word in new:
+            text = word.decode()
+            m = self.plain and SIMPLE.fullmatch(text)
+            if not m:
+                out.append(array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(core(m[1].lower()) + core(m[2]) if m[2] else core(m[1].lower()))
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        words = [x.split() for x in texts]
+        known = self.known.of({w for ws in words for w in ws}, self.learn)
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
 _words: dict[str, Words] = {}  # for each Python worker
@@ -99,7 +103,7 @@ class _Writer:
         self.uri, self.length, self.rows = uri, length, rows
         self.dtype = np.dtype("<u2" if code == "H" else "<u4")
         kind = pa.uint16() if code == "H" else pa.uint32()
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], {"rows": str(rows), "length": str(length)})
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))], {"rows": str(rows), "length": str(length)})
         self.files, path = files(uri)
         self.files.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = self.files.open_output_stream(f"{path}.ids")
@@ -138,8 +142,8 @@ class _Writer:
 
     def _batch(self, flat, real: int) -> None:
         np, pa = self.np, self.pa
-        mask = np.zeros(len(flat), bool)
-        mask[:real] = True
+        mask = np.zeros(len(flat), np.uint8)
+        mask[:real] = 1
         made = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)]
         self.stream.write_batch(pa.RecordBatch.from_arrays(made, schema=self.schema))
 
@@ -152,8 +156,13 @@ class _Writer:
 
 def write(docs: DataFrame, path: str, out: str, text: str = "text", end: int = END, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
     """Writes the shards below the shared folder ``out``. Returns the manifest: shard, uri, docs, tokens, first_token."""
+    small_batches(docs.sparkSession)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_h"), F.col(text).cast("string").alias("text"))
-    dealt = dealt.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARE))
+    # equal rows in bulk are parted by their place
+    order = ("doc_id", "_h", "_row")
+    dealt = dealt.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
         import uuid
@@ -161,17 +170,25 @@ def write(docs: DataFrame, path: str, out: str, text: str = "text", end: int = E
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        uri, writer, known = f"{out}/shard-{shard:06d}-{uuid.uuid4().hex}", None, words(path)
+        from .blocks import binary
+
+        part, turn, writer, known = TaskContext.get().partitionId(), 0, None, words(path)
         stop = array(known.code, [end]).tobytes()
+
+        def done():
+            n, total = writer.close()
+            return pa.RecordBatch.from_pylist([{"shard": (part << 24) + turn, "uri": writer.uri, "docs": n, "tokens": total}])
+
         for batch in batches:
-            writer = writer or _Writer(uri, known.code, length, rows)
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                writer.add(part.column(0).to_pylist(), [known.encode(x or "") + stop for x in part.column(1).to_pylist()])
+            if not batch.num_rows:
+                continue
+            writer = writer or _Writer(f"{out}/shard-{part:06d}-{turn:06d}-{uuid.uuid4().hex}", known.code, length, rows)
+            writer.add(batch.column(0).to_pylist(), [ids + stop for ids in known.encode(binary(batch.column(1)))])
+            if writer.total >= TOKENS:
+                yield done()
+                writer, turn = None, turn + 1
         if writer:
-            n, total = writer.close()
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, "docs": n, "tokens": total}])
+            yield done()
 
     manifest = cut(dealt.mapInArrow(run, "shard long, uri string, docs long, tokens long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
@@ -179,43 +196,62 @@ def write(docs: DataFrame, path: str, out: str, text: str = "text", end: int = E
 
 
 class Shard:
-    """Random access to a shard's sequences: ``shard[i]`` is (ids, mask), ids a view of the file's memory."""
+    """Random access to a shard's sequences: ``shard[i]`` is (ids, mask), views of a batch's memory."""
 
     def __init__(self, uri: str):
         import pyarrow as pa
 
-        store, path = files(uri)
-        local = type(store).__name__ == "LocalFileSystem"
-        opened = (lambda p: pa.memory_map(p)) if local else store.open_input_file
-        with opened(f"{path}.docs") as f:
-            self.docs = pa.ipc.open_stream(f).read_all()
-        self.source = opened(f"{path}.ids")
-        stream = pa.ipc.open_stream(self.source)
-        self.rows, self.length = (int(stream.schema.metadata[k]) for k in (b"rows", b"length"))
-        self.batches = list(stream)
+        self.ipc, self.uri = pa.ipc, uri
+        self.source = self._open(".ids")
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.rows, self.length = (int(self.schema.metadata[k]) for k in (b"rows", b"length"))
+        self.first, self.at, self.held = self.source.tell(), -1, None
+        end = self.source.size() - 8  # the stream's end mark
+        if end > self.first:
+            pa.ipc.read_message(self.source)
+        self.size = max(1, self.source.tell() - self.first)
+        self.n_batches = -(-(end - self.first) // self.size)
+
+    def _open(self, kind: str):
+        import pyarrow as pa
+
+        store, path = files(self.uri)
+        return pa.memory_map(path + kind) if type(store).__name__ == "LocalFileSystem" else store.open_input_file(path + kind)
+
+    def batch(self, i: int):
+        """The i-th batch; the one before is let go."""
+        if i != self.at:
+            self.source.seek(self.first + i * self.size)
+            self.at, self.held = i, self.ipc.read_record_batch(self.ipc.read_message(self.source), self.schema)
+        return self.held
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return (self.n_batches - 1) * self.rows + self.batch(self.n_batches - 1).num_rows if self.n_batches else 0
 
-    def values(self, batch: int):
-        return self.batches[batch].column(0).values.to_numpy(zero_copy_only=True)
+    def _values(self, batch: int, column: int):
+        return self.batch(batch).column(column).values.to_numpy(zero_copy_only=True)
 
     def __getitem__(self, i: int):
         batch, row = divmod(i, self.rows)
         view = slice(row * self.length, (row + 1) * self.length)
-        return self.values(batch)[view], self.batches[batch].column(1).values.slice(row * self.length, self.length).to_numpy(zero_copy_only=False)
+        return self._values(batch, 0)[view], self._values(batch, 1)[view].view(bool)
 
     def spans(self, start: int, n: int):
         """Views that hold tokens start to start + n."""
         size = self.rows * self.length
         while n > 0:
             batch, first = divmod(start, size)
-            view = self.values(batch)[first : first + n]
+            view = self._values(batch, 0)[first : first + n]
             yield view
             start, n = start + len(view), n - len(view)
 
+    def docs(self):
+        """Batches of doc_id, start, n_tokens."""
+        with self._open(".docs") as f:
+            yield from self.ipc.open_stream(f)
+
     def close(self) -> None:
-        self.batches = []
+        self.held = None
         self.source.close()
 
 
@@ -228,7 +264,7 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(uri)
-                for part in shard.docs.to_batches(max_chunksize=4096):
+                for part in shard.docs():
                     ids, starts, sizes = (part.column(i).to_pylist() for i in range(3))
                     sums = []
                     for start, n in zip(starts, sizes, strict=True):

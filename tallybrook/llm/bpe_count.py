@@ -4,9 +4,11 @@ The pre-tokens of a batch lie in one flat array of symbols with an array of star
 sequence merges all places of its lowest-ranked pair at once, sequences without a pair leave, and what symbols
 survive are counted. Merging all places of the lowest pair is what merging them one by one gives: a pair that
 holds a new symbol ranks behind the pair the symbol came from. In runs like ``aaa`` the left pair goes first.
+Sequences longer than ``LONG`` go through the ranks together, the lowest first; there a round looks only at the
+places of its rank and, behind the merges, at their neighbours, so an unbroken text doesn't cost its length a round.
 
-Texts are cut where white space follows other characters, where no pre-token goes across, and each different
-piece is counted once for each Python worker (``CACHE`` pieces at most; then anew).
+Texts are cut where white space follows other characters, where no pre-token goes across. A batch counts each
+different piece once, and what recent batches counted is kept (``common.Recent``, a bounded size).
 
 Cases: a null text is empty: no bytes, no tokens. Very long texts are counted whole. A special string inside a
 text is one token, as the library has it by default. Repeated rows are each counted. Columns that clash with
@@ -15,16 +17,18 @@ new ones are dropped. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import Recent, map_texts
 
-CACHE = 1 << 20
 LIMIT = 1024
+#: Bytes of a pre-token that merges by ranks instead of rounds.
+LONG = 256
 NONE = np.int64(1 << 40)
 #: Unicode white space, as the library's patterns have it.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -62,6 +66,11 @@ class Merger:
         """Symbols left of each pre-token."""
         out = np.zeros(len(tokens), np.int64)
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        long = np.flatnonzero(sizes > LONG)
+        if len(long):
+            out[long] = self._by_rank([tokens[i] for i in long.tolist()])
+            tokens = [t if len(t) <= LONG else b"" for t in tokens]
+            sizes[long] = 0
         who = np.flatnonzero(sizes)
         sizes = sizes[who]
         flat = self.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
@@ -81,6 +90,60 @@ class Merger:
             flat, who, sizes = flat[keep], who[~over], (sizes - lost)[~over]
         return out
 
+    def _by_rank(self, tokens: list[bytes]) -> np.ndarray:
+        """Symbols left of each long pre-token. Symbols are linked to their neighbours, places wait under their rank."""
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        starts = np.cumsum(sizes) - sizes
+        flat = self.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
+        n = len(flat)
+        at, rank = self._ranks(flat, starts)
+        behind, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        behind[starts + sizes - 1] = -1
+        before[starts] = -1
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] != NONE]
+            places = places[np.argsort(rank[places], kind="stable")]
+            for some in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1) if len(places) else []:
+                r = int(rank[some[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(some)
+
+        wait(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            found = waiting.pop(r)
+            hit = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            hit = hit[alive[hit] & (rank[hit] == r)]
+            if not len(hit):
+                continue
+            # of hits that share a symbol every second one, from the left
+            new = np.ones(len(hit), bool)
+            new[1:] = behind[hit[:-1]] != hit[1:]
+            turn = np.arange(len(hit))
+            hit = hit[(turn - np.maximum.accumulate(np.where(new, turn, 0))) % 2 == 0]
+            gone, after = behind[hit], behind[behind[hit]]
+            flat[hit] = self.made[at[hit]]
+            alive[gone] = False
+            rank[gone] = NONE
+            behind[hit] = after
+            linked = after >= 0
+            before[after[linked]] = hit[linked]
+            left = before[hit]
+            near = np.unique(np.concatenate((hit, left[left >= 0])))
+            rank[near] = NONE
+            near = near[behind[near] >= 0]
+            key = flat[near] * self.width + flat[behind[near]]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[place] == key
+            at[near[known]], rank[near[known]] = place[known], self.ranks[place[known]]
+            wait(near)
+        return np.add.reduceat(alive, starts, dtype=np.int64)
+
     def _ranks(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each symbol, where its pair with the next stands in the table, and the pair's rank."""
         at, rank = np.zeros(len(flat), np.int64), np.full(len(flat), NONE)
@@ -105,12 +168,10 @@ class Counter:
     def __init__(self, path: str):
         import regex
 
-        self.merger, self.pre, self.known = Merger(path), regex.compile(PRE_TOKEN), {}
+        self.merger, self.pre, self.known = Merger(path), regex.compile(PRE_TOKEN), Recent()
 
     def __call__(self, texts: list[str]) -> list[int]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, cut, special = self.known, self.merger.cut, self.merger.special
+        cut, special = self.merger.cut, self.merger.special
         pieces, extra = [], []
         for x in texts:
             if any(s in x for s in special):
@@ -120,17 +181,17 @@ class Counter:
             else:
                 extra.append(0)
                 pieces.append(PIECE.findall(x))
-        new = list({p for ps in pieces for p in ps if p not in known})
-        for first in range(0, len(new), 200_000):
-            some = new[first : first + 200_000]
-            tokens = [[t.encode() for t in self.pre.findall(p)] for p in some]
-            counts = self.merger.count([t for ts in tokens for t in ts])
-            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            sums = np.concatenate(([0], np.cumsum(counts)))
-            ends = np.cumsum(sizes)
-            known.update(zip(some, (sums[ends] - sums[ends - sizes]).tolist(), strict=True))
+        known = self.known.of({p for ps in pieces for p in ps}, self._learn)
         return [n + sum(map(known.__getitem__, ps)) for ps, n in zip(pieces, extra, strict=True)]
 
+    def _learn(self, new: list[str]) -> list[int]:
+        tokens = [[t.encode() for t in self.pre.findall(p)] for p in new]
+        counts = self.merger.count([t for ts in tokens for t in ts])
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        sums = np.concatenate(([0], np.cumsum(counts)))
+        ends = np.cumsum(sizes)
+        return (sums[ends] - sums[ends - sizes]).tolist()
+
 
 _counters: dict[str, Counter] = {}  # for each Python worker
 

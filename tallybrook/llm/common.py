@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,13 +55,37 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def map_texts(docs: DataFrame, text: str, fields: list[tuple[str, str]], make, most_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` without its text and with new columns, made from whole texts in Arrow batches.
+class Recent:
+    """Values of short strings that recent batches asked for: two generations of ``size`` at most."""
+
+    LENGTH = 64
+
+    def __init__(self, size: int = 1 << 16):
+        self.size, self.now, self.past = size, {}, {}
+
+    def of(self, keys: set, make) -> dict:
+        """A dict with the values of ``keys``; ``make`` gives those of a list of new ones."""
+        now, past = self.now, self.past
+        kept = keys.intersection(past) - now.keys()
+        new = [k for k in keys if k not in now and k not in kept]
+        made = dict(zip(new, make(new), strict=True)) if new else {}
+        made.update((k, past[k]) for k in kept)
+        short = {k: v for k, v in made.items() if len(k) <= self.LENGTH}
+        if len(now) + len(short) > self.size:
+            found = {k: now[k] for k in keys.intersection(now)} | made
+            self.past, self.now = now, dict(itertools.islice(short.items(), self.size))
+            return found
+        now.update(short)
+        return now if len(short) == len(made) else now | made
+
+
+def map_texts(docs: DataFrame, text: str, fields: list[tuple[str, str]], make) -> DataFrame:
+    """``docs`` without its text and with new columns, made from whole texts in Arrow batches of bounded size.
 
     ``make()`` is called once in each task and returns a function from a list of texts (null: empty) to as many
-    rows, one value for each of ``fields`` (name, SQL type). It gets some ``most_bytes`` of text at a time, one
-    text at least. Columns of the input that clash with new ones are dropped.
+    rows, one value for each of ``fields`` (name, SQL type). Columns of the input that clash with new ones are dropped.
     """
+    small_batches(docs.sparkSession)
     names = [n for n, _ in fields]
     kept = [c for c in docs.columns if c != text and c not in names]
     slim = docs.select(*kept, F.col(text).cast("string").alias("__text"))
@@ -72,19 +97,10 @@ def map_texts(docs: DataFrame, text: str, fields: list[tuple[str, str]], make, m
         work = make()
         kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
         for batch in batches:
-            sizes = batch.column(batch.num_columns - 1)
-            first = 0
-            while first < batch.num_rows:
-                texts, size, upto = [], 0, first
-                while upto < batch.num_rows and (size < most_bytes or upto == first):
-                    texts.append(sizes[upto].as_py() or "")
-                    size += len(texts[-1])
-                    upto += 1
-                rows = work(texts)
+            if batch.num_rows:
+                rows = work([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
                 made = [pa.array(col, kinds[k]) for col, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)]
-                part = batch.slice(first, upto - first)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*kept, *names])
-                first = upto
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*kept, *names])
 
     return slim.mapInArrow(run, schema)
 

@@ -10,9 +10,10 @@ that ends where it starts. Two entries stand unmerged if undoing their own merge
 never shows a pair over their border that would have merged before. So each place gets one edge, and
 following them back from the end gives the ids.
 
-Texts are cut before runs of spaces and around line ends, where no entry goes across; each different piece is
-encoded once for each Python worker (``CACHE`` pieces at most; then anew). Runs of spaces, whose entries all
-have one score, merge from the left as the library does it.
+Texts are cut before runs of spaces and around line ends, where no entry goes across. A batch encodes each different
+piece once, and what recent batches encoded is kept (``common.Recent``, a bounded size). Runs of spaces, whose
+entries all have one score, merge from the left as the library does it. Pieces of more than ``LONG`` characters are
+indexed in windows of ``INDEXED`` and relaxed character by character, with what is known of two entries kept.
 
 Cases: a null text is empty and has no ids. Characters outside the vocabulary become their bytes. Very long
 texts are encoded whole. Decoding gives back the text but for U+2581, which becomes a space. Repeated rows are
@@ -23,15 +24,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import Recent, map_texts
 
-CACHE = 1 << 19
-#: Characters of new text that are indexed at once.
-INDEXED = 1 << 19
+#: Characters of new text that are indexed at once, and of a piece that isn't relaxed together with others.
+INDEXED, LONG = 1 << 17, 1 << 11
+#: Pairs of entries of long pieces that are remembered.
+PAIRS = 1 << 17
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 START, OUTSIDE, UNREACHED = -1, -2, -3
@@ -93,6 +96,8 @@ class Model:
         self.low = np.array([self._key(p, 0) for p in usable], f"S{2 * self.depth}")
         self.high = np.array([self._key(p, 0xFFFF) for p in usable], f"S{2 * self.depth}")
         self.runs: dict[int, list[int]] = {}
+        self.remembered: dict[int, bool] = {}
+        self.ranks = None
 
     def _key(self, piece: str, fill: int) -> bytes:
         return self.codes[[ord(c) for c in piece]].tobytes() + bytes([fill & 0xFF]) * (2 * (self.depth - len(piece)))
@@ -141,26 +146,88 @@ class Model:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return fine[back]
 
+    def edges(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where entries occur in ``codes`` from the first ``n`` places on, and which; as the suffix array has them."""
+        # suffix array, to the depth of the longest entry
+        padded = np.concatenate((codes, np.zeros(self.depth, codes.dtype))).astype(">u2")  # bytes compare as codes do
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.depth)[:n]).view(f"S{2 * self.depth}").ravel()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first, last = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
+        many = last - first
+        where = order[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        entry = np.repeat(self.entries, many)
+        outside = np.flatnonzero(codes[:n] == 1)
+        return np.concatenate((where, outside)), np.concatenate((entry, np.full(len(outside), OUTSIDE)))
+
+    def whole(self, text: str) -> list[int]:
+        """The ids of one long text: indexed window by window, relaxed place by place."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        n, width, pairs, sizes = len(points), int(self.width), self.remembered, self.sizes.tolist()
+        best = [UNREACHED] * (n + 1)
+        best[0] = START
+        for low in range(0, n, INDEXED):
+            high = min(n, low + INDEXED)
+            where, entry = self.edges(self.codes[points[low : high + self.depth]], high - low)
+            by = np.argsort(where, kind="stable")
+            entry, begin = entry[by].tolist(), np.searchsorted(where[by], np.arange(high - low + 1)).tolist()
+            for s in range(low, high):
+                before = best[s]
+                if before == UNREACHED:
+                    continue
+                for k in range(begin[s - low], begin[s - low + 1]):
+                    t = entry[k]
+                    if t < 0 or before < 0:
+                        best[s + (sizes[t] if t >= 0 else 1)] = t
+                        continue
+                    key = before * width + t
+                    fine = pairs.get(key)
+                    if fine is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        fine = pairs[key] = self.apart_one(before, t)
+                    if fine:
+                        best[s + sizes[t]] = t
+        ids, at = [], n
+        while at:
+            t = best[at]
+            if t < OUTSIDE:
+                raise RuntimeError("a place without an edge: not a BPE model")
+            at -= sizes[t] if t >= 0 else 1
+            ids += [t] if t >= 0 else [self.bytes[b] for b in reversed(text[at].encode())]
+        return ids[::-1]
+
+    def apart_one(self, a: int, b: int) -> bool:
+        """``apart`` of two entries."""
+        if self.ranks is None:
+            self.ranks = dict(zip(self.pairs.tolist(), self.pair_rank.tolist(), strict=True)), self.rank.tolist(), self.left.tolist(), self.right.tolist()
+        (of_pair, rank, left, right), width, limit = self.ranks, int(self.width), int(FAR)
+        while True:
+            if 2 * of_pair.get(a * width + b, limit) < limit:
+                return False
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                limit, a = 2 * ra, right[a]
+            else:
+                limit, b = 2 * rb + 1, left[b]
+
     def segment(self, texts: list[str]) -> list[list[int]]:
         """The ids of texts without inner spaces or line ends (one leading space may be)."""
+        if not texts:
+            return []
+        if any(len(x) > LONG for x in texts):
+            short = iter(self.segment([x for x in texts if len(x) <= LONG]))
+            return [self.whole(x) if len(x) > LONG else next(short) for x in texts]
         joined = "\0".join(texts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(sizes + 1) - 1
+        ends = np.cumsum(sizes + 1)[: len(texts)] - 1
         starts = ends - sizes
         codes = self.codes[points]
         codes[ends] = 0
-        # suffix array, to the depth of the longest entry
-        padded = np.concatenate((codes, np.zeros(self.depth, codes.dtype))).astype(">u2")  # bytes compare as codes do
-        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.depth)[: len(codes)]).view(f"S{2 * self.depth}").ravel()
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first, last = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
-        n = last - first
-        where = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        entry = np.repeat(self.entries, n)
-        outside = np.flatnonzero(codes == 1)
-        where, entry = np.concatenate((where, outside)), np.concatenate((entry, np.full(len(outside), OUTSIDE)))
+        where, entry = self.edges(codes, len(codes))
         # edges by their distance from the start of their text: those of one distance don't depend on each other
         begin = np.repeat(starts, sizes + 1)
         far = where - begin[where]
@@ -207,59 +274,53 @@ class Model:
 
 class Codec:
     def __init__(self, path: str):
-        self.model, self.known = Model(path), {}
+        self.model, self.known = Model(path), Recent()
 
     def units(self, text: str) -> list[str]:
         return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def learn(self, units: list[list[str]]) -> None:
-        """Fills ``known``: the ids of each unit (as bytes) and what they decode to."""
-        known, m = self.known, self.model
-        if len(known) > CACHE:
-            known.clear()
-        new = list({u for us in units for u in us if u not in known})
-        first = 0
-        while first < len(new):
-            some, size = [], 0
-            while first < len(new) and (size < INDEXED or not some):
-                some.append(new[first])
-                size += len(new[first])
-                first += 1
-            cores = [(SPACE if u[0] == SPACE and u.strip(SPACE) else "") + u.lstrip(SPACE) if u != "\n" else "" for u in some]
-            found = m.segment(cores)
-            for u, core, ids in zip(some, cores, found, strict=True):
-                if u == "\n":
-                    ids = [m.bytes[10]]
-                else:
-                    n = len(u) - len(u.lstrip(SPACE))
-                    if n and core:
-                        n -= 1
-                        if ids[0] == m.ids[SPACE]:  # a space that joined no word belongs to the run
-                            n, ids = n + 1, ids[1:]
-                    ids = (m.run(n) if n else []) + ids
-                known[u] = (np.array(ids, "<u2" if m.width <= 1 << 16 else "<u4").tobytes(), b"".join([m.plain[i] for i in ids]))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        units = [self.units(x) for x in texts]
-        self.learn(units)
-        kind = "<u2" if self.model.width <= 1 << 16 else "<u4"
-        return [np.frombuffer(b"".join([self.known[u][0] for u in us]), kind) for us in units]
-
-    def decode(self, ids) -> str:
-        """The text of ids, as the library gives it: without the space set before the text."""
-        plain = self.model.plain
-        return b"".join([plain[i] for i in ids])[1:].decode(errors="replace")
+    def learn(self, new: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of each unit (as bytes) and what they decode to."""
+        m, out = self.model, []
+        kind, plain = "H" if m.width <= 1 << 16 else "I", m.plain
+        upto = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // INDEXED
+        for some in np.split(np.array(new, object), np.flatnonzero(np.diff(upto)) + 1):
+            some = some.tolist()
+            # spaces before the last one of a run belong to the run, not to the word
+            cores = [u if u[0] != SPACE and u != "\n" or u[0] == SPACE and u[1:2] not in (SPACE, "") else "" if u == "\n" or not u.strip(SPACE) else SPACE + u.lstrip(SPACE) for u in some]
+            for u, core, ids in zip(some, cores, m.segment(cores), strict=True):
+                if core is not u:
+                    ids = self._with_run(u, core, ids)
+                out.append((array(kind, ids).tobytes(), b"".join([plain[i] for i in ids])))
+        return out
+
+    def _with_run(self, unit: str, core: str, ids: list[int]) -> list[int]:
+        m = self.model
+        if unit == "\n":
+            return [m.bytes[10]]
+        n = len(unit) - len(unit.lstrip(SPACE)) - bool(core)
+        if core and ids[0] == m.ids[SPACE]:  # a space that joined no word belongs to the run
+            n, ids = n + 1, ids[1:]
+        return m.run(n) + ids if n else ids
 
     def both(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """The ids of each text (bytes) and the UTF-8 of the text decoded from them."""
         units = [self.units(x) for x in texts]
-        self.learn(units)
+        known = self.known.of({u for us in units for u in us}, self.learn)
         rows = []
         for us in units:
-            pairs = [self.known[u] for u in us]
+            pairs = [known[u] for u in us]
             rows.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])[1:]))
         return rows
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(ids, "<u2" if self.model.width <= 1 << 16 else "<u4") for ids, _ in self.both(texts)]
+
+    def decode(self, ids) -> str:
+        """The text of ids, as the library gives it: without the space set before the text."""
+        plain = self.model.plain
+        return b"".join([plain[i] for i in ids])[1:].decode(errors="replace")
+
 
 _codecs: dict[str, Codec] = {}  # for each Python worker
 

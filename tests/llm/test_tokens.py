@@ -9,7 +9,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 from tallybrook.llm import arrow_ids, bpe_count, spm  # noqa: E402
-from tallybrook.llm.common import fresh_path  # noqa: E402
+from tallybrook.llm.common import Recent, fresh_path  # noqa: E402
 
 BYTE, WORDS, PIECES = (P.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ODD = [
@@ -49,7 +49,7 @@ def test_count_query(spark):
 
 def test_words_equal_the_library():
     w, every = arrow_ids.Words(WORDS), texts(seed=2)
-    assert [np.frombuffer(w.encode(x), np.uint16).tolist() for x in every] == [e.ids for e in library(WORDS).encode_batch(every, add_special_tokens=False)]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in w.encode([x.encode() for x in every])] == [e.ids for e in library(WORDS).encode_batch(every, add_special_tokens=False)]
 
 
 def test_id_files(spark):
@@ -70,15 +70,105 @@ def test_id_files(spark):
     # sequences: views of the mapped file, masked behind the last token
     for m in manifest.collect():
         shard = arrow_ids.Shard(m.uri)
-        seqs = [shard[i] for i in range(len(shard))]
+        seqs = [shard[i] for i in reversed(range(len(shard)))][::-1]
         assert all(len(ids) == 64 for ids, _ in seqs) and sum(int(mask.sum()) for _, mask in seqs) == m.tokens
-        assert not seqs[0][0].flags.owndata and not seqs[0][0].flags.writeable
+        for view in seqs[0]:
+            assert not view.flags.owndata and not view.flags.writeable
+        assert seqs[0][1].dtype == bool
         flat = np.concatenate([ids[mask] for ids, mask in seqs])
         assert np.array_equal(flat, np.concatenate(list(shard.spans(0, m.tokens))))
         del seqs, flat
     assert arrow_ids.store(df.limit(0), WORDS).count() == 0
 
 
+def test_shards_of_bounded_size(spark, monkeypatch):
+    """Shards end at a bound; from a store that can't be mapped, batches are read one by one; equal rows in bulk."""
+    monkeypatch.setattr(arrow_ids, "TOKENS", 500)
+    df = frame(spark, [(7, "same words here")] * 6000 + [(8, "last one")])
+    manifest = arrow_ids.write(df, WORDS, fresh_path(spark, "test"), length=16, rows=4).cache()
+    shards = manifest.collect()
+    assert len(shards) > 1 and max(m.docs for m in shards) < 6000
+    tokens = len(library(WORDS).encode("same words here", add_special_tokens=False).ids) + 1
+    got = sorted(arrow_ids.read(manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [tokens * i for i in range(6001)] and len({r.ids_crc32 for r in got[:-1]}) == 1
+
+    import pyarrow as pa
+
+    reads = []
+
+    class Remote:
+        def __init__(self, store):
+            self.store = store
+
+        def open_input_file(self, path):
+            raw = self.store.open_input_file(path)
+
+            class Counted:
+                closed = False
+
+                def __getattr__(self, name):
+                    return getattr(raw, name)
+
+                def read(self, n=-1):
+                    reads.append(n)
+                    return raw.read(n)
+
+            return pa.PythonFile(Counted(), "r")
+
+    local = arrow_ids.Shard(shards[0].uri)
+    plain = [(ids.tolist(), mask.tolist()) for ids, mask in (local[i] for i in range(len(local)))]
+    kept = arrow_ids.files
+    monkeypatch.setattr(arrow_ids, "files", lambda uri: (Remote(kept(uri)[0]), kept(uri)[1]))
+    shard = arrow_ids.Shard(shards[0].uri)
+    before = len(reads)
+    middle = len(plain) // 2
+    ids, mask = shard[middle]
+    assert (ids.tolist(), mask.tolist()) == plain[middle] and 0 < sum(reads[before:]) < 4 * shard.size and shard.n_batches > 4
+
+
+@pytest.mark.parametrize("text", ["".join(random.Random(1).choices("etaoinshrdlucm", k=200_000)), "a" * 100_001, "ab" * 5000 + "漢" * 3000, " " * 9999 + "na" * 2777 + "é" * 999, "=" * 12_345, "\n" * 30_000])
+def test_unbroken_texts(text):
+    """A text without a space takes the time of its length, not its square, and the library's ids."""
+    import time
+
+    import sentencepiece
+
+    began = time.time()
+    n, codec = bpe_count.Counter(BYTE)([text])[0], spm.codec(PIECES)
+    assert n == len(library(BYTE).encode(text, add_special_tokens=False).ids)
+    assert codec.encode([text])[0].tolist() == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
+    assert time.time() - began < 30
+
+
+def test_long_and_short_pieces_together():
+    rng = random.Random(6)
+    every = ["".join(rng.choices("etaoin shrdlu漢▁é", k=k)) for k in (10, 300, 3000, 9000)] + ["".join(rng.choices("etaoinshrdlu漢é", k=k)) for k in (1, 2100, 256, 257, 5000)]
+    import sentencepiece
+
+    assert [x.tolist() for x in spm.codec(PIECES).encode(every)] == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(every)
+    assert bpe_count.Counter(BYTE)(every) == [len(e.ids) for e in library(BYTE).encode_batch(every, add_special_tokens=False)]
+
+
+def test_windows_of_long_pieces(monkeypatch):
+    monkeypatch.setattr(spm, "INDEXED", 700)
+    monkeypatch.setattr(spm, "PAIRS", 50)
+    text = "".join(random.Random(2).choices("etaoinshrdlu漢é", k=6000))
+    import sentencepiece
+
+    assert spm.codec(PIECES).model.whole("▁" + text) == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
+
+
+def test_recent_values():
+    asked = []
+    make = lambda keys: asked.extend(keys) or [k * 2 for k in keys]
+    r = Recent(3)
+    for keys in ("ab", "bc", "cde", "abx", "x" * 1, "fghijk", "fa"):
+        found = r.of(set(keys), make)
+        assert all(found[k] == k * 2 for k in keys) and len(r.now) <= 3 and len(r.past) <= 3
+    long = "y" * 100
+    assert r.of({long}, make)[long] == long * 2 and long not in r.now and len(asked) < 25
+
+
 def test_sentencepiece_equals_the_library():
     import sentencepiece
 
