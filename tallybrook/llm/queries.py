@@ -86,21 +86,25 @@ FROM cut LEFT JOIN fit USING (host, path) LEFT JOIN hit USING (host, path)
 
 OP2 = r"""
 WITH rows AS (
-  SELECT DISTINCT conv_id, turn, coalesce(turn // 64, -1) AS part, coalesce(role, 'unknown') AS role, role IS NULL AS nameless, coalesce(text, '') AS text
-  FROM conversations),
-speakers AS (SELECT DISTINCT conv_id, role AS participant FROM rows WHERE NOT nameless AND role <> 'system'),
+  SELECT DISTINCT conv_id, turn, coalesce(turn // 64, -1) AS part, role, coalesce(text, '') AS text FROM conversations),
+cut AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY conv_id, part) > 256
+                 THEN (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1) // 64 ELSE 0 END AS piece
+  FROM rows),
+speakers AS (SELECT DISTINCT conv_id, role AS participant FROM rows WHERE role IS NOT NULL AND role <> 'system'),
 said AS (
-  SELECT r.conv_id, participant, part, turn, role, text, role = participant AS own,
-         '<|im_start|>' || CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
-         text || '<|im_end|>' AS body
-  FROM (SELECT DISTINCT conv_id, turn, part, role, text FROM rows) r JOIN speakers s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
+  SELECT r.conv_id, participant, part, piece, turn, role, text, coalesce(role = participant, false) AS own,
+         '<|im_start|>' || CASE WHEN role IS NULL THEN 'user' WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system'
+                                ELSE 'user name=' || replace(translate(role, chr(10) || chr(13), '  '), '<|im_', '<| im_') END || chr(10) AS head,
+         replace(text, '<|im_', '<| im_') || '<|im_end|>' AS body
+  FROM cut r JOIN speakers s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
 placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, part ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, part, piece ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM said)
-SELECT conv_id, participant, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
-       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
-       coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || ':' || CAST(pos + length(head) + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own), '') AS mask
-FROM placed GROUP BY conv_id, participant, part
+SELECT conv_id, participant, CAST(part AS BIGINT) AS part, CAST(piece AS BIGINT) AS piece, count(*) AS n_turns,
+       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS text,
+       coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || ':' || CAST(pos + length(head) + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, participant, part, piece
 """
 
 OP7 = r"""
