@@ -207,16 +207,16 @@ def test_quality_is_as_sharp_with_many_n_grams(spark, monkeypatch):
 
 def test_held_out_scores_and_fewer_trusted(spark):
     """Scores of trusted texts under a model of the others, in plain Python; and the bound on trusted texts."""
+    from pyspark.sql import functions as F
+
     docs = [(i, " ".join(f"w{(i * 5 + k * k) % 90}" for k in range(60 + i))) for i in range(12)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     ids = spark.createDataFrame([(i,) for i in range(0, 12, 2)], "doc_id long")
     counted = quality.counts(df, ids)
     n, t = counted.agg({"corpus": "sum"}).first()[0], counted.agg({"trusted": "sum"}).first()[0]
-    sample = quality.measure(df.join(ids, "doc_id"))
+    sample = quality.measure(df.join(ids, "doc_id")).withColumn("base_failed", F.lit(False))
     got = sorted(r.score for r in quality.held_out(sample, quality.model(counted, quality.BUCKETS), (n, t), "text", quality.BUCKETS).collect())
     every = {r.bucket: (r.corpus, r.trusted) for r in counted.collect()}
-    from pyspark.sql import functions as F
-
     expected = []
     for i, text in docs[::2]:
         own = collections.Counter(r.b for r in df.filter(f"doc_id = {i}").select(F.explode(quality._grams(F.col("text"))).alias("h")).select(quality._bucket(F.col("h"), quality.BUCKETS).alias("b")).collect())
