@@ -215,8 +215,8 @@ def _second_cells(families: DataFrame, found: DataFrame) -> DataFrame:
     sizes = parts.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
     by = sizes.groupBy("family").agg(F.max(F.struct("n", "words", "part")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("words").alias("words")).filter("parts > 1")
     by = by.withColumns({"out_n": F.col("n") - F.col("most.n"), "out_words": F.col("words") - F.col("most.words"), "in_n": F.col("most.n"), "in_words": F.col("most.words")})
-    by = by.select("family", F.col("most.part").alias("largest"), _chunks("out_n", "out_words").alias("outer"), _chunks("in_n", "in_words").alias("inner"))
-    at = parts.join(by.hint("merge"), "family").withColumn("inside", F.col("part") == F.col("largest"))
+    by = cut(by.select("family", "n", F.col("most.part").alias("largest"), _chunks("out_n", "out_words").alias("outer"), _chunks("in_n", "in_words").alias("inner")))
+    at = hot_join(parts.select("gid", "family", "part"), by, "family", "n").withColumn("inside", F.col("part") == F.col("largest"))
     at = at.withColumn("chunk", F.when(F.col("inside"), _dealt(F.col("inner"))).otherwise(_dealt(F.col("outer"))))
     own = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda k: F.struct(k.alias("i"), (-1 - F.col("chunk")).alias("j")))
     others = F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda k: F.struct(F.col("chunk").alias("i"), (-1 - k).alias("j")))
