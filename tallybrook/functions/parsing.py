@@ -47,6 +47,10 @@ def partition_list(text: str) -> list[int] | None:
     return sorted(found) or None
 
 
+# How specifications without a number are shown.
+DESCRIBED = {"earliest": "earliest (beginning of partition)", "latest": "latest (end of partition / high watermark)"}
+
+
 @dataclass(frozen=True)
 class OffsetSpec:
     """mode: numeric, earliest, latest or timestamp; value: the offset, or milliseconds since 1970."""
@@ -56,8 +60,8 @@ class OffsetSpec:
 
     def describe(self) -> str:
         if self.mode == "timestamp":
-            return "timestamp " + datetime.fromtimestamp(self.value / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-        return str(self.value) if self.mode == "numeric" else self.mode
+            return "timestamp:" + datetime.fromtimestamp(self.value / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        return f"{self.value} (numeric)" if self.mode == "numeric" else DESCRIBED[self.mode]
 
 
 #: Fixed value: the layouts of instants; without a zone they are UTC.
@@ -75,13 +79,13 @@ def offset_spec(text: str) -> OffsetSpec:
                 raise ValueError
             stamp = datetime.fromisoformat(m[1] + "T" + (m[3] or "00:00:00") + (m[5] or "+00:00").replace("Z", "+00:00"))
         except ValueError:
-            raise ValueError(f"invalid timestamp {text[10:]!r}: expected ISO-8601 format") from None
+            raise ValueError(f"{text[10:]!r} is no instant: a date, or a date and time of ISO 8601") from None
         millis = int(((m[4] or ".0")[1:] + "000")[:3])
         return OffsetSpec("timestamp", int(stamp.timestamp()) * 1000 + millis)
     if not re.fullmatch(r"[+-]?\d+", text) or abs(int(text)) >= 1 << 63:
-        raise ValueError(f"invalid offset {text!r}: expected a number, 'earliest', 'latest' or 'timestamp:<ISO-8601>'")
+        raise ValueError(f"{text!r} is no offset: neither a number nor earliest, latest or timestamp:...")
     if int(text) < 0:
-        raise ValueError(f"offset must be non-negative, got {text}")
+        raise ValueError(f"an offset of {text} is below zero")
     return OffsetSpec("numeric", int(text))
 
 

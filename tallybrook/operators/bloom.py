@@ -1,8 +1,8 @@
 """Membership filters: approximate semi-joins and anti-joins.
 
-A filter is built as distinct bit positions, which combine before they are shuffled. A filter's size is fixed by
-its sizing (512 MiB at most), not by what is tested: filters of up to ``BROADCAST`` bytes are sent to the tasks,
-larger ones are joined by position.
+Each task sets its items' bits in slabs of the filter, which are combined. A filter's size is fixed by its sizing
+(512 MiB at most), not by what is tested: filters of up to ``BROADCAST`` bytes are sent to the tasks, larger ones are
+written to the shared folder and joined by position.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import HASH_NAME, SECOND_SEED, hash_of, positions
+from ..functions.hashing import HASH_NAME, SECOND_SEED, bit_positions, hash_of, positions
+from ..sources.paths import scratch
 
 # The state's layout and limits.
 MAGIC, VERSION = b"BLM1", 1
@@ -23,6 +24,8 @@ MOST_BYTES, MOST_HASHES = 512 << 20, 64
 BROADCAST = 32 << 20
 #: Bytes of a filter's row of bits while it is built.
 SLAB = 1 << 16
+#: Slabs that a task holds at once.
+HELD = 256
 
 
 @dataclass(frozen=True)
@@ -39,15 +42,15 @@ class Sizing:
 
 def sizing(expected: int, rate: float) -> Sizing:
     if expected <= 0:
-        raise ValueError("expected-items must be greater than zero")
+        raise ValueError(f"a filter for {expected} items: at least one is needed")
     if not (math.isfinite(rate) and 0 < rate < 1):
-        raise ValueError("false-positive-rate must be greater than 0 and less than 1")
+        raise ValueError(f"a rate of false positives lies between 0 and 1, not at {rate}")
     need = math.ceil(-expected * math.log(rate) / math.log(2) ** 2)
     if need > MOST_BYTES * 8:
         raise ValueError("the filter would need more than the 512 MiB limit")
     hashes = max(1, math.floor(need / expected * math.log(2) + 0.5))
     if hashes > MOST_HASHES:
-        raise ValueError(f"false-positive-rate requires {hashes} hashes; {MOST_HASHES} are supported")
+        raise ValueError(f"that rate takes {hashes} hashes an item, more than {MOST_HASHES}")
     return Sizing(expected, rate, need, hashes)
 
 
@@ -62,32 +65,57 @@ def _pack_header(size: Sizing, inserted: int) -> bytes:
     return MAGIC + struct.pack(">BQQdQIB", VERSION, size.expected, inserted, size.rate, size.bits, size.hashes, len(name)) + name + struct.pack(">Q", size.bytes)
 
 
-def state_of(set_bits: DataFrame, size: Sizing, inserted: int) -> bytes:
-    """The filter's state file. Bits come in as slabs, so the driver holds the state and no list of positions."""
-    slabs = set_bits.select(F.floor(F.col("bit") / (8 * SLAB)).alias("slab"), (F.col("bit") % (8 * SLAB)).cast("int").alias("at")).groupBy("slab").agg(F.collect_list("at").alias("at"))
-    out = np.zeros(size.bytes, np.uint8)
+def slabs(df: DataFrame, item: str, size: Sizing) -> DataFrame:
+    """slab, bytes: the filter's set parts, one scan of ``df``; of slab -1 the bytes are the number of items."""
+    bits_of = 8 * SLAB
 
-    @F.arrow_udf("binary")
-    def fill(at):
+    def fill(batches):
         import pyarrow as pa
 
-        rows = []
-        for some in at.to_pylist():
-            b = np.zeros(8 * SLAB, np.uint8)
-            b[some] = 1
-            rows.append(np.packbits(b, bitorder="little").tobytes())
-        return pa.array(rows, pa.binary())
+        held, inserted = {}, 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["slab", "bytes"])
+
+        for batch in batches:
+            h1, h2 = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+            inserted += len(h1)
+            at = np.unique(bit_positions(h1, h2, size.bits, size.hashes))
+            slab = at // bits_of
+            for part in np.split(at, np.flatnonzero(np.diff(slab)) + 1) if len(at) else []:
+                no, place = int(part[0]) // bits_of, part % bits_of
+                if no not in held and len(held) >= HELD:
+                    yield out()
+                    held = {}
+                np.bitwise_or.at(held.setdefault(no, np.zeros(SLAB, np.uint8)), place >> 3, (1 << (place & 7)).astype(np.uint8))
+        held[-1] = np.array([inserted], "<u8")
+        yield out()
+
+    def join(table):
+        import pyarrow as pa
 
-    for r in slabs.select("slab", fill("at").alias("b")).toLocalIterator():
-        part = np.frombuffer(r["b"], np.uint8)[: size.bytes - r["slab"] * SLAB]
-        out[r["slab"] * SLAB : r["slab"] * SLAB + len(part)] = part
-    return _pack_header(size, inserted) + out.tobytes()
+        no, rows = table.column("slab")[0].as_py(), table.column("bytes").to_pylist()
+        one = np.sum([np.frombuffer(r, "<u8") for r in rows], axis=0, dtype="<u8") if no == -1 else np.bitwise_or.reduce([np.frombuffer(r, np.uint8) for r in rows])
+        return pa.table({"slab": pa.array([no], pa.int64()), "bytes": pa.array([one.tobytes()], pa.binary())})
+
+    hashed = df.filter(F.col(item).isNotNull()).select(hash_of(F.col(item)).alias("h1"), hash_of(F.col(item), SECOND_SEED).alias("h2"))
+    # in two steps, so that no task holds a slab of every other one
+    some = hashed.mapInArrow(fill, "slab long, bytes binary").withColumn("lane", F.spark_partition_id() % 32)
+    first = some.groupBy("lane", "slab").applyInArrow(join, "slab long, bytes binary")
+    return first.groupBy("slab").applyInArrow(join, "slab long, bytes binary")
 
 
 def build(df: DataFrame, item: str, expected: int, rate: float) -> bytes:
+    """The filter's state file. The driver holds the state and a slab."""
     size = sizing(expected, rate)
-    inserted = df.filter(F.col(item).isNotNull()).count()
-    return state_of(bits(df, item, size), size, inserted)
+    out, inserted = np.zeros(size.bytes, np.uint8), 0
+    for r in slabs(df, item, size).toLocalIterator():
+        if r["slab"] < 0:
+            inserted = int.from_bytes(r["bytes"], "little")
+        else:
+            part = np.frombuffer(r["bytes"], np.uint8)[: size.bytes - r["slab"] * SLAB]
+            out[r["slab"] * SLAB : r["slab"] * SLAB + len(part)] = part
+    return _pack_header(size, inserted) + out.tobytes()
 
 
 @dataclass
@@ -125,9 +153,7 @@ def test(df: DataFrame, item: str, state: bytes, invert: bool = False) -> DataFr
     """Rows whose item may be in the filter, or with ``invert`` those that surely are not. Null items are in none."""
     f = unpack(state)
     if len(f.bits) > BROADCAST:
-        spark = df.sparkSession
-        where = spark.createDataFrame([(i, bytes(f.bits[i * SLAB : (i + 1) * SLAB])) for i in range(-(-len(f.bits) // SLAB))], "slab long, bytes binary")
-        return test_bits(df, item, where, f.size, invert)
+        return test_bits(df, item, stored_slabs(df.sparkSession, f.bits), f.size, invert)
     held = df.sparkSession.sparkContext.broadcast(f.bits)
     n, k = f.size.bits, f.size.hashes
 
@@ -149,18 +175,36 @@ def test(df: DataFrame, item: str, state: bytes, invert: bool = False) -> DataFr
     return df.filter(~found if invert else found)
 
 
+def stored_slabs(spark, bits: np.ndarray) -> DataFrame:
+    """slab, bytes: a filter's bits, written to the shared folder slab by slab and read by the executors."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    path = scratch(spark, "bits")
+    files, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    files.create_dir(name, recursive=True)
+    kind = pa.schema([("slab", pa.int64()), ("bytes", pa.binary())])
+    with pq.ParquetWriter(f"{name}/slabs.parquet", kind, filesystem=files) as out:
+        n = -(-len(bits) // SLAB)
+        for first in range(0, n, 64):
+            some = range(first, min(n, first + 64))
+            out.write_table(pa.table({"slab": pa.array(some, pa.int64()), "bytes": pa.array([bits[i * SLAB : (i + 1) * SLAB].tobytes() for i in some], pa.binary())}, kind))
+    return spark.read.parquet(path)
+
+
 def test_bits(df: DataFrame, item: str, slabs: DataFrame, size: Sizing, invert: bool = False) -> DataFrame:
-    """The same for a filter too large to send to every task: positions meet ``slabs`` (slab, bytes) in a join."""
-    named = df.withColumn("_row", F.monotonically_increasing_id())
-    asked = named.filter(F.col(item).isNotNull()).select("_row", F.explode(positions(F.col(item), size.bits, size.hashes)).alias("bit"))
-    at = asked.withColumn("slab", F.floor(F.col("bit") / (8 * SLAB)))
+    """The same for a filter too large to send to every task: the different items' positions meet ``slabs`` (slab,
+    bytes) in a join, and rows meet the items that are in none."""
+    value = F.col(item).cast("binary")
+    asked = df.filter(F.col(item).isNotNull()).select(value.alias("_item")).distinct()
+    at = asked.select("_item", F.explode(positions(F.col("_item"), size.bits, size.hashes)).alias("bit")).withColumn("slab", F.floor(F.col("bit") / (8 * SLAB)))
     byte = f"cast(conv(hex(substring(bytes, cast(floor(bit / 8) % {SLAB} as int) + 1, 1)), 16, 10) as int)"
     missed = at.join(slabs, "slab", "left").filter(F.col("bytes").isNull() | (F.expr(f"shiftright({byte}, cast(bit % 8 as int)) & 1") == 0))
-    gone = missed.select("_row").distinct()
-    kept = named.join(gone, "_row", "left_semi" if invert else "left_anti")
-    if invert:
-        return kept.unionByName(named.filter(F.col(item).isNull())).drop("_row")
-    return kept.filter(F.col(item).isNotNull()).drop("_row")
+    gone = missed.select("_item").distinct()
+    there = df.filter(F.col(item).isNotNull())
+    kept = there.join(gone, there[item].cast("binary") == gone["_item"], "left_semi" if invert else "left_anti")
+    return kept.unionByName(df.filter(F.col(item).isNull())) if invert else kept
 
 
 def union(states: list[bytes]) -> bytes:
@@ -177,6 +221,7 @@ def union(states: list[bytes]) -> bytes:
 
 
 def inspect(spark, state: bytes) -> DataFrame:
+    """One row of metadata (fixed names and type)."""
     f = unpack(state)
-    row = ("bloom", VERSION, f.size.expected, f.inserted, f.size.rate, f.size.bits, f.size.hashes, f.size.bytes, HASH_NAME)
-    return spark.createDataFrame([row], "type string, version int, expected_items long, inserted_items long, false_positive_rate double, bits long, hashes int, bytes long, hash string")
+    row = ("bloom-filter", VERSION, f.size.expected, f.inserted, f.size.rate, f.size.bits, f.size.hashes, HASH_NAME)
+    return spark.createDataFrame([row], "type string, version int, expected_items long, inserted_items long, false_positive_rate double, bit_count long, hash_count int, hash string")

@@ -136,15 +136,18 @@ def _to_state(regs: DataFrame, p: int, by: tuple[str, ...]) -> DataFrame:
 def decode(states: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by..., p, idx, rank of all states; unsound ones raise."""
 
-    @F.arrow_udf("struct<p:int,ranks:binary>")
+    @F.arrow_udf("array<struct<p:int,idx:int,rank:int>>")
     def run(state):
         import pyarrow as pa
 
         found = [unpack(s) for s in state.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([r.tobytes() for _, r in found], pa.binary())], ["p", "ranks"])
+        live = [np.union1d(np.flatnonzero(r), [0]) for _, r in found]  # register 0 stands for the state also when it is zero
+        sizes = [len(x) for x in live]
+        flat = [np.repeat([p for p, _ in found], sizes), np.concatenate([*live, []]), np.concatenate([*(r[x] for (_, r), x in zip(found, live, strict=True)), []])]
+        rows = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in flat], ["p", "idx", "rank"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), rows)
 
-    read = states.select(*by, run("state").alias("s")).select(*by, "s.p", F.posexplode(F.split(F.regexp_replace(F.hex("s.ranks"), "(..)", "$1 "), " ")).alias("idx", "x"))
-    return read.filter("x <> ''").select(*by, "p", "idx", F.conv("x", 16, 10).cast("int").alias("rank")).filter("rank > 0 or idx = 0")
+    return states.select(*by, F.inline(run("state")))
 
 
 def merge(states: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -158,22 +161,27 @@ def merge(states: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def inspect(states: DataFrame) -> DataFrame:
-    """type, version, precision, registers, hash, estimate, relative_error of each state."""
+    """type, version, precision, registers, hash, approx_unique, relative_error of each state (fixed names and type)."""
 
-    @F.arrow_udf("struct<type:string,version:int,precision:int,registers:int,hash:string,estimate:long,relative_error:double>")
+    @F.arrow_udf("struct<type:string,version:int,precision:int,registers:int,hash:string,approx_unique:long,relative_error:double>")
     def run(state):
         import pyarrow as pa
 
         rows = []
         for s in state.to_pylist():
             p, regs = unpack(s)
-            rows.append({"type": "hll", "version": VERSION, "precision": p, "registers": 1 << p, "hash": HASH_NAME, "estimate": estimate(regs), "relative_error": relative_error(p)})
-        kinds = {"type": pa.string(), "version": pa.int32(), "precision": pa.int32(), "registers": pa.int32(), "hash": pa.string(), "estimate": pa.int64(), "relative_error": pa.float64()}
+            rows.append({"type": "hyperloglog", "version": VERSION, "precision": p, "registers": 1 << p, "hash": HASH_NAME, "approx_unique": estimate(regs), "relative_error": relative_error(p)})
+        kinds = {"type": pa.string(), "version": pa.int32(), "precision": pa.int32(), "registers": pa.int32(), "hash": pa.string(), "approx_unique": pa.int64(), "relative_error": pa.float64()}
         return pa.array(rows, pa.struct(list(kinds.items())))
 
     return states.select(run("state").alias("s")).select("s.*")
 
 
+def estimates(states: DataFrame) -> DataFrame:
+    """approx_unique, relative_error of each state."""
+    return inspect(states).select("approx_unique", "relative_error")
+
+
 def estimate(regs: np.ndarray) -> int:
     m = len(regs)
     counts = np.bincount(regs)

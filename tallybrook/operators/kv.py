@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytes as form
-from ..sources.sinks import write_state
+from ..sources.sinks import write_pieces
 
 SCHEMA = "cf string, key binary, value binary, seq long, deleted boolean"
 DEFAULT = "default"
@@ -81,6 +81,13 @@ def families(rows: DataFrame, selected: str = DEFAULT) -> DataFrame:
     return rows.select("cf").distinct().select("cf", (F.col("cf") == selected).alias("selected"))
 
 
+def _json_array(rows: DataFrame):
+    yield b"["
+    for i, r in enumerate(rows.toLocalIterator()):
+        yield (",\n" * (i > 0) + json.dumps(r.asDict(), ensure_ascii=False)).encode()
+    yield b"]\n"
+
+
 class Store:
     """A table in a folder. ``writable`` allows puts, deletes and compaction."""
 
@@ -156,8 +163,7 @@ class Store:
                     pass
                 else:
                     raise ValueError(f"{path} exists")
-            parts = (json.dumps(r.asDict(), ensure_ascii=False) for r in rows.toLocalIterator())
-            write_state(("[" + ",\n".join(parts) + "]\n").encode(), path)
+            write_pieces(_json_array(rows), path)
         else:
             raise ValueError("format must be csv, json or jsonl")
         return rows, n

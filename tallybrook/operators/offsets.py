@@ -21,7 +21,7 @@ def bounds_of(log: DataFrame) -> DataFrame:
 def pair_bounds(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """partition, low, high from (partition, offset) frames. A partition in one of them only raises."""
     both = starts.select("partition", F.col("offset").alias("low")).join(ends.select("partition", F.col("offset").alias("high")), "partition", "full")
-    need = lambda c, what: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit(f"no {what} offset returned for partition "), F.col("partition").cast("string"))).cast("long"))
+    need = lambda c, what: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit(f"the {what} offset is missing of partition "), F.col("partition").cast("string"))).cast("long"))
     return both.select("partition", need("low", "start").alias("low"), need("high", "end").alias("high"))
 
 
@@ -69,6 +69,26 @@ def with_warnings(planned: DataFrame) -> DataFrame:
     return planned.withColumn("warning", F.when(low, "below low watermark").when(F.col("new_offset") > F.col("high_watermark"), "above high watermark"))
 
 
+def plan_text(planned: DataFrame, group: str, topic: str, spec: OffsetSpec, dry_run: bool = False) -> str:
+    """The plan as a table with a header (fixed layout). A row for each partition of a topic, a few thousand at most."""
+    rows = [(str(r["partition"]), r["current_offset"], str(r["new_offset"]), str(r["low_watermark"]), str(r["high_watermark"])) for r in planned.orderBy("partition").collect()]
+    named = [("Group ", group), ("Topic ", topic), ("Offset", spec.describe())] + [("Mode  ", "DRY RUN (no changes will be committed)")] * dry_run
+    titles = ("Partition", "Current Offset", "New Offset", "Low Watermark", "High Watermark")
+    table = [titles, tuple("-" * (len(t) + (t == "Partition")) for t in titles), *rows]
+    lines = ["", *(f"  {k}: {v}" for k, v in named), "", *("  " + "  ".join(cell.ljust(12 if i == 0 else 16) for i, cell in enumerate(row)) for row in table), ""]
+    return "".join(line + "\n" for line in lines)
+
+
+def warning_lines(planned: DataFrame) -> list[str]:
+    """A line for each new offset outside its partition's bounds (fixed layout)."""
+    out = []
+    for r in with_warnings(planned).filter("warning is not null").orderBy("partition").collect():
+        below = r["new_offset"] < r["low_watermark"]
+        bound = f"< low watermark {r['low_watermark']} (will consume from earliest available)" if below else f"> high watermark {r['high_watermark']} (consumer will wait for new messages)"
+        out.append(f"  warning: partition {r['partition']}: offset {r['new_offset']} {bound}")
+    return out
+
+
 def starting_offsets(planned: DataFrame, topic: str) -> str:
     """JSON for ``startingOffsets``. One entry for each partition of a topic, a few thousand at most."""
     entries = ",".join(f'"{r["partition"]}":{r["new_offset"]}' for r in planned.orderBy("partition").collect())

@@ -104,6 +104,13 @@ def oracle_sql() -> dict[str, str]:
     in_union = f"SELECT item FROM ({bits_sql(customers, UNION)}) a LEFT JOIN (SELECT DISTINCT bit FROM ({bits_sql(f'{segment} UNION ALL {other}', UNION)})) b USING (bit) GROUP BY item HAVING count(b.bit) = count(*)"
     stable = f"SELECT item FROM (SELECT CAST(o_orderkey AS VARCHAR) AS item FROM orders) WHERE {hash_sql('item', 42)} < CAST('{int(0.2 * float(TWO64 - 1))}' AS UHUGEINT)"
     white = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)"
+    lines = "SELECT unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL"
+    sizes = "SELECT count(*) AS n, CAST(sum(octet_length(encode(v))) AS BIGINT) AS bytes FROM ({})"
+    padded = " || '  ' || ".join(f"rpad(CAST({c} AS VARCHAR), {n}, ' ')" for c, n in (("partition", 12), ("current_offset", 16), ("new_offset", 16), ("low_watermark", 16), ("high_watermark", 16)))
+    titles = [("Partition", "----------"), ("Current Offset", "--------------"), ("New Offset", "----------"), ("Low Watermark", "-------------"), ("High Watermark", "--------------")]
+    ruled = ["  " + "  ".join(t[i].ljust(16 if k else 12) for k, t in enumerate(titles)) for i in (0, 1)]
+    top = ["", "  Group : group-a", "  Topic : topic-a", "  Offset: latest (end of partition / high watermark)", "  Mode  : DRY RUN (no changes will be committed)", "", *ruled]
+    current = "CASE partition WHEN 0 THEN '7' WHEN 3 THEN '1000000' ELSE '-' END"
     nation_line = "CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 3 END"
     split = lambda i, value: (f"CASE WHEN {i} > {nation_line} THEN 'missing' WHEN {value} = '' THEN 'empty' ELSE 'present' END", value)
     json_a = "CASE o_orderkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN 'empty' WHEN 4 THEN 'missing' ELSE 'present' END"
@@ -119,14 +126,14 @@ def oracle_sql() -> dict[str, str]:
         "heavy_merged": ranked_sql(items("events", "event_type"), 5),
         "heavy_bounded_native": ranked_sql(items("events", "event_type"), 5),
         "heavy_tsv": f"SELECT rank || chr(9) || item || chr(9) || count_estimate AS value FROM ({ranked_sql(items('orders', 'o_orderpriority'), 3)})",
-        "hash64_vectors": f"SELECT n_name, {hex_sql(hash_sql('n_name'))} AS h, {hex_sql(hash_sql('n_name', 42))} AS h_seed FROM nation",
+        "hash64_vectors": f"SELECT p_partkey, {hex_sql(hash_sql('p_name'))} AS h, {hex_sql(hash_sql('p_name', 42))} AS h_seed FROM part",
         "hll_count_user": estimate_sql(registers_sql(users, 14), 14),
         "hll_count_part": estimate_sql(registers_sql(parts, 14), 14),
         "hll_registers": registers_sql(customers, 10),
         "hll_by_group": estimate_sql(registers_sql("SELECT event_type, CAST(user_id AS VARCHAR) AS item FROM events", 14, "event_type"), 14, "event_type"),
-        "hll_merge_days": f"SELECT CAST(12 AS INTEGER) AS precision, approx_unique AS estimate, relative_error FROM ({estimate_sql(registers_sql(users, 12), 12)})",
+        "hll_merge_days": f"SELECT CAST(12 AS INTEGER) AS precision, approx_unique, relative_error FROM ({estimate_sql(registers_sql(users, 12), 12)})",
         "hll_merge_registers": estimate_sql(registers_sql(users, 12), 12),
-        "hll_inspect": f"SELECT 'hll' AS type, CAST(1 AS INTEGER) AS version, CAST(10 AS INTEGER) AS precision, CAST(1024 AS INTEGER) AS registers, 'fnv1a64-avalanche-v1' AS hash, approx_unique AS estimate, relative_error FROM ({estimate_sql(registers_sql(customers, 10), 10)})",
+        "hll_inspect": f"SELECT 'hyperloglog' AS type, CAST(1 AS INTEGER) AS version, CAST(10 AS INTEGER) AS precision, CAST(1024 AS INTEGER) AS registers, 'fnv1a64-avalanche-v1' AS hash, approx_unique, relative_error FROM ({estimate_sql(registers_sql(customers, 10), 10)})",
         "hll_precision_sweep": " UNION ALL ".join(f"SELECT CAST({p} AS INTEGER) AS p, * FROM ({estimate_sql(registers_sql(parts, p), p)})" for p in (4, 10, 14)),
         "bloom_sizing": " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS expected, CAST({p} AS DOUBLE) AS rate, CAST(ceil(-{n} * ln({p}) / (ln(2) * ln(2))) AS BIGINT) AS bits, CAST(greatest(1, round(ceil(-{n} * ln({p}) / (ln(2) * ln(2))) / {n} * ln(2))) AS INTEGER) AS hashes" for n, p in SIZINGS),
         "bloom_bits": f"SELECT DISTINCT bit FROM ({bits_sql(segment, FILTER)})",
@@ -134,7 +141,7 @@ def oracle_sql() -> dict[str, str]:
         "bloom_test_anti": f"SELECT * FROM ({orders}) WHERE item NOT IN ({in_filter})",
         "bloom_test_joined": f"SELECT * FROM ({orders}) WHERE item IN ({in_filter})",
         "bloom_union": f"SELECT o_orderkey FROM ({orders}) WHERE item IN ({in_union})",
-        "bloom_inspect": f"SELECT 'bloom' AS type, CAST(1 AS INTEGER) AS version, CAST({UNION.expected} AS BIGINT) AS expected_items, count(*) AS inserted_items, CAST({UNION.rate} AS DOUBLE) AS false_positive_rate, CAST({UNION.bits} AS BIGINT) AS bits, CAST({UNION.hashes} AS INTEGER) AS hashes, CAST({UNION.bytes} AS BIGINT) AS bytes, 'fnv1a64-avalanche-v1' AS hash FROM customer WHERE c_mktsegment IN ('{SEGMENT}', '{OTHER}')",
+        "bloom_inspect": f"SELECT 'bloom-filter' AS type, CAST(1 AS INTEGER) AS version, CAST({UNION.expected} AS BIGINT) AS expected_items, count(*) AS inserted_items, CAST({UNION.rate} AS DOUBLE) AS false_positive_rate, CAST({UNION.bits} AS BIGINT) AS bit_count, CAST({UNION.hashes} AS INTEGER) AS hash_count, 'fnv1a64-avalanche-v1' AS hash FROM customer WHERE c_mktsegment IN ('{SEGMENT}', '{OTHER}')",
         "bloom_fpr": f"SELECT count(*) AS false_positives FROM ({member_sql('SELECT ' + chr(39) + 'x' + chr(39) + ' || range AS item FROM range(10000)', segment, FILTER)})",
         "semi_exact": f"SELECT * FROM ({orders}) WHERE item IN ({segment})",
         "anti_exact": f"SELECT * FROM ({orders}) WHERE item NOT IN ({segment})",
@@ -149,7 +156,19 @@ def oracle_sql() -> dict[str, str]:
         "sample_rate_none": "SELECT CAST(o_orderkey AS VARCHAR) AS item FROM orders WHERE FALSE",
         "sample_reservoir_size": "SELECT least(500, count(*)) AS n, least(500, count(DISTINCT o_orderkey)) AS distinct_n FROM orders",
         "text_trim_nonempty": f"SELECT doc_id, count(*) AS lines, CAST(sum(length(v)) AS BIGINT) AS chars FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), {white}) AS v FROM documents) WHERE v <> '' GROUP BY doc_id",
-        "union_all_inputs": "SELECT o_orderpriority, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT * FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1",
+        "union_all_inputs": "SELECT CAST(k AS VARCHAR) AS nation, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1",
+        "scan_lines": sizes.format(f"SELECT v FROM ({lines})"),
+        "scan_lines_cleaned": sizes.format(f"SELECT trim(v, {white}) AS v FROM ({lines}) WHERE trim(v, {white}) <> ''"),
+        "scan_nul": sizes.format("SELECT text AS v FROM documents WHERE text IS NOT NULL"),
+        "scan_verbatim": "SELECT count(*) AS n, count(*) - 1 AS ended, CAST(sum(octet_length(encode(o_orderpriority))) AS BIGINT) AS bytes FROM orders",
+        "write_json_array_file": "SELECT p_partkey, p_name FROM part",
+        "heavy_json": f"""SELECT '[' || string_agg('{{"rank":' || rank || ',"item":"' || item || '","count_estimate":' || count_estimate || '}}', ',' ORDER BY rank) || ']' AS json FROM ({ranked_sql(parts, 20)})""",
+        "heavy_key_values": f"SELECT 'rank=' || rank || chr(10) || 'item=' || item || chr(10) || 'count_estimate=' || count_estimate || chr(10) AS value FROM ({ranked_sql(items('orders', 'o_orderpriority'), 5)})",
+        "hll_state_files": estimate_sql(registers_sql(customers, 12), 12),
+        "bloom_state_files": f"SELECT * FROM ({orders}) WHERE item IN ({in_filter})",
+        "bloom_test_stored": f"SELECT * FROM ({orders}) WHERE item NOT IN ({in_filter})",
+        "kv_export_csv": f"SELECT key, value FROM ({KV}) WHERE cf = 'people'",
+        "kv_export_json": f"SELECT key, value FROM ({KV}) WHERE cf = 'people'",
         "kv_get": f"SELECT key, value FROM ({KV}) WHERE cf = 'default' AND key = 'part/00000042'",
         "kv_scan_prefix": f"SELECT key, value FROM ({KV}) WHERE cf = 'people' AND starts_with(key, 'BUILDING/1')",
         "kv_scan_limit": f"SELECT key, value FROM ({KV}) WHERE cf = 'default' AND starts_with(key, 'part/0000001') ORDER BY key LIMIT 15",
@@ -165,8 +184,10 @@ def oracle_sql() -> dict[str, str]:
         "offsets_latest": plan_sql("high"),
         "offsets_timestamp": at_sql(INSTANT),
         "offsets_timestamp_late": at_sql(LATE),
-        "offsets_current": plan_sql("low", "CASE partition WHEN 0 THEN '7' WHEN 3 THEN '1000000' ELSE '-' END"),
+        "offsets_current": plan_sql("low", current),
         "offsets_warnings": "SELECT *, CASE WHEN new_offset < low_watermark THEN 'below low watermark' WHEN new_offset > high_watermark THEN 'above high watermark' END AS warning FROM (" + plan_sql("15", source=f"SELECT partition, low + 10 * partition AS low, partition * 7 + 6 AS high FROM ({BOUNDS})") + ")",
+        "offsets_plan_text": f"SELECT '{chr(10).join(top)}' || chr(10) || string_agg('  ' || {padded} || chr(10), '' ORDER BY partition) || chr(10) AS text FROM ({plan_sql('high', current)})",
+        "offsets_warning_lines": "SELECT '  warning: partition ' || partition || ': offset ' || new_offset || CASE WHEN new_offset < low_watermark THEN ' < low watermark ' || low_watermark || ' (will consume from earliest available)' ELSE ' > high watermark ' || high_watermark || ' (consumer will wait for new messages)' END AS value FROM (" + plan_sql("15", source=f"SELECT partition, low + 10 * partition AS low, partition * 7 + 6 AS high FROM ({BOUNDS})") + ") WHERE new_offset < low_watermark OR new_offset > high_watermark",
         "offsets_subset": plan_sql("high", where="partition IN (1, 3)"),
         "greeting": "SELECT 'Hello, world!' AS message",
     }

@@ -10,7 +10,8 @@ from ..functions.hashing import hash_of, hex_of
 from ..functions.parsing import OffsetSpec, offset_spec
 from ..operators import bloom, heavy, hll, kv, offsets, profile, sampling
 from ..sources import records
-from ..sources.sinks import json_object, omit_zero, tsv_lines
+from ..sources.paths import scratch
+from ..sources.sinks import json_array, json_object, key_value_lines, omit_zero, read_states, tsv_lines, write_json_array, write_records, write_state, write_verbatim
 
 SEGMENT, OTHER = "BUILDING", "MACHINERY"
 FILTER = bloom.sizing(1000, 0.01)
@@ -63,7 +64,7 @@ def heavy_tsv(spark, d):
 
 
 def hash64_vectors(spark, d):
-    return table(spark, d, "nation").select("n_name", hex_of(hash_of(F.col("n_name"))).alias("h"), hex_of(hash_of(F.col("n_name"), 42)).alias("h_seed"))
+    return table(spark, d, "part").select("p_partkey", hex_of(hash_of(F.col("p_name"))).alias("h"), hex_of(hash_of(F.col("p_name"), 42)).alias("h_seed"))
 
 
 def hll_count_user(spark, d):
@@ -85,7 +86,7 @@ def hll_by_group(spark, d):
 
 def hll_merge_days(spark, d):
     days = table(spark, d, "events").select(F.to_date("ts").alias("day"), F.col("user_id").cast("string").alias("item"))
-    return hll.inspect(hll.merge(hll.build(days, "item", 12, ("day",)))).select("precision", "estimate", "relative_error")
+    return hll.inspect(hll.merge(hll.build(days, "item", 12, ("day",)))).select("precision", "approx_unique", "relative_error")
 
 
 def hll_merge_registers(spark, d):
@@ -186,8 +187,6 @@ def card_delimited(spark, d):
 
 
 def card_csv(spark, d):
-    from ..sources.paths import scratch
-
     path = scratch(spark, "csv")
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 4 == 0, "").otherwise(F.concat(F.col("n_name"), F.lit(', "q"'))).alias("name"))
     n.coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
@@ -242,9 +241,83 @@ def text_trim_nonempty(spark, d):
 
 
 def union_all_inputs(spark, d):
+    """Two files of records, read as one input."""
+    paths = []
+    for name, key in (("customer", "c_nationkey"), ("supplier", "s_nationkey")):
+        paths.append(scratch(spark, name))
+        write_records(table(spark, d, name).select(F.col(key).cast("string").alias("value")), paths[-1])
+    return records.read(spark, paths).groupBy(F.decode("value", "UTF-8").alias("nation")).agg(F.count("*").alias("n"))
+
+
+def _lines(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select(F.explode(F.split("text", "\n")).alias("value"))
+
+
+def _sizes(rows):
+    return rows.agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("bytes"))
+
+
+def scan_lines(spark, d):
+    path = scratch(spark, "lines")
+    write_records(_lines(spark, d), path)
+    return _sizes(records.read(spark, path))
+
+
+def scan_lines_cleaned(spark, d):
+    path = scratch(spark, "lines")
+    write_records(_lines(spark, d), path)
+    return _sizes(records.read(spark, path, trim=True, ignore_empty=True))
+
+
+def scan_nul(spark, d):
+    path = scratch(spark, "nul")
+    table(spark, d, "documents").filter("text is not null").select("text").write.option("lineSep", "\0").text(path)
+    return _sizes(records.read(spark, path, nul=True))
+
+
+def scan_verbatim(spark, d):
+    """Records without a line feed behind the last, written and read again."""
+    path = scratch(spark, "raw")
     o = table(spark, d, "orders")
-    both = records.union_all(o.filter("o_orderkey % 3 = 0"), o.filter("o_orderkey % 2 = 0"))
-    return both.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    last = o.agg(F.max("o_orderkey")).first()[0]
+    write_verbatim(o.orderBy("o_orderkey").select(F.col("o_orderpriority").cast("binary").alias("value"), (F.col("o_orderkey") != last).alias("terminated")), path)
+    return records.read_raw(spark, path).agg(F.count("*").alias("n"), F.count_if("terminated").alias("ended"), F.sum(F.length("value")).alias("bytes"))
+
+
+def write_json_array_file(spark, d):
+    path = scratch(spark, "json")
+    write_json_array(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", path)
+    return spark.read.schema("p_partkey long, p_name string").json(path, multiLine=True)
+
+
+def heavy_json(spark, d):
+    return json_array(heavy.exact(table(spark, d, "lineitem"), "l_partkey", 20), "rank")
+
+
+def heavy_key_values(spark, d):
+    rows = heavy.exact(table(spark, d, "orders"), "o_orderpriority", 5).collect()
+    return spark.createDataFrame([(key_value_lines(r.asDict()),) for r in rows], "value string")
+
+
+def hll_state_files(spark, d):
+    """Sketches of two halves, written to files, read and merged."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("item"), (F.col("o_orderkey") % 2).alias("half"))
+    paths = []
+    for r in hll.build(o, "item", 12, ("half",)).collect():
+        paths.append(scratch(spark, "state"))
+        write_state(bytes(r["state"]), paths[-1])
+    return hll.estimates(hll.merge(read_states(spark, paths).select("state")))
+
+
+def bloom_state_files(spark, d):
+    path = scratch(spark, "state")
+    write_state(_state(spark, d, FILTER, SEGMENT), path)
+    return bloom.test(_orders(spark, d), "item", bytes(read_states(spark, path).first()["state"]))
+
+
+def bloom_test_stored(spark, d):
+    f = bloom.unpack(_state(spark, d, FILTER, SEGMENT))
+    return bloom.test_bits(_orders(spark, d), "item", bloom.stored_slabs(spark, f.bits), f.size, invert=True)
 
 
 # key-value tables
@@ -260,34 +333,57 @@ def _text(rows):
     return rows.select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
 
 
+def _stores(spark, d):
+    """The same rows in a stored table, as its two families."""
+    path = scratch(spark, "kv")
+    found = [kv.Store(spark, path, cf, writable=True) for cf in ("default", "people")]
+    for store in found:
+        store.load(_kv(spark, d).filter(F.col("cf") == store.cf).select("key", "value"))
+    return found
+
+
 def kv_get(spark, d):
-    return _text(_kv(spark, d).filter((F.col("cf") == "default") & (F.col("key") == F.lit(b"part/00000042"))))
+    value = _stores(spark, d)[0].get("part/00000042")
+    return spark.createDataFrame([("part/00000042", value.decode())] if value is not None else [], "key string, value string")
 
 
 def kv_scan_prefix(spark, d):
-    return _text(kv.scan(_kv(spark, d).filter("cf = 'people'"), b"BUILDING/1", None))
+    return _text(_stores(spark, d)[1].scan("BUILDING/1", None))
 
 
 def kv_scan_limit(spark, d):
-    return _text(kv.scan(_kv(spark, d).filter("cf = 'default'"), b"part/0000001", 15))
+    return _text(_stores(spark, d)[0].scan("part/0000001", 15))
 
 
 def kv_keys(spark, d):
-    return kv.scan(_kv(spark, d).filter("cf = 'people'")).select(F.decode("key", "UTF-8").alias("key"))
+    return _stores(spark, d)[1].keys().select(F.decode("key", "UTF-8").alias("key"))
 
 
 def kv_count_prefix(spark, d):
-    some = _kv(spark, d).filter("cf = 'people'").filter(kv.has_prefix(F.col("key"), b"MACHINERY/"))
-    return some.agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(_stores(spark, d)[1].count("MACHINERY/"),)], "n long")
 
 
 def kv_put_delete(spark, d):
-    changes = kv.changes_of(_kv(spark, d).filter("cf = 'default'"))
-    changes = kv.put(changes, "default", b"part/00000001", b"changed", 1)
-    changes = kv.put(changes, "default", b"new", b"row", 1)
-    changes = kv.delete(kv.delete(changes, "default", b"part/00000002", 1), "default", b"new2", 1)
-    changes = kv.put(kv.put(changes, "default", b"part/00000003", b"first", 1), "default", b"part/00000003", b"second", 2)
-    return _text(kv.latest(changes))
+    store = _stores(spark, d)[0]
+    store.put("part/00000001", "changed")
+    store.put("new", "row")
+    store.delete("part/00000002")
+    store.delete("new2")
+    store.put("part/00000003", "first")
+    store.put("part/00000003", "second")
+    return _text(store.scan("", None))
+
+
+def kv_export_csv(spark, d):
+    path = scratch(spark, "csv")
+    _stores(spark, d)[1].export(path, "csv")
+    return spark.read.option("header", True).option("escape", '"').schema("key string, value string").csv(path)
+
+
+def kv_export_json(spark, d):
+    path = scratch(spark, "json")
+    _stores(spark, d)[1].export(path, "json")
+    return spark.read.schema("key string, value string").json(path, multiLine=True)
 
 
 def kv_export(spark, d):
@@ -302,11 +398,11 @@ def kv_format(spark, d):
 
 
 def kv_families(spark, d):
-    return kv.families(_kv(spark, d))
+    return _stores(spark, d)[0].families()
 
 
 def kv_stats(spark, d):
-    return kv.stats(_kv(spark, d))
+    return _stores(spark, d)[0].stats()
 
 
 # log offsets
@@ -353,28 +449,42 @@ def offsets_current(spark, d):
     return _plan(spark, d, "earliest", committed=_committed(spark))
 
 
-def offsets_warnings(spark, d):
+def _bounded_plan(spark, d):
     bounds = offsets.bounds_of(_log(spark, d)).withColumns({"low": F.col("low") + 10 * F.col("partition"), "high": F.col("partition") * 7 + 6})
-    return offsets.with_warnings(offsets.plan(bounds, offset_spec("15")))
+    return offsets.plan(bounds, offset_spec("15"))
+
+
+def offsets_warnings(spark, d):
+    return offsets.with_warnings(_bounded_plan(spark, d))
 
 
 def offsets_subset(spark, d):
     return _plan(spark, d, "latest", partitions=[1, 3])
 
 
+def offsets_plan_text(spark, d):
+    spec = offset_spec("latest")
+    return spark.createDataFrame([(offsets.plan_text(_plan(spark, d, spec, committed=_committed(spark)), "group-a", "topic-a", spec, dry_run=True),)], "text string")
+
+
+def offsets_warning_lines(spark, d):
+    lines = offsets.warning_lines(_bounded_plan(spark, d))
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
 def greeting(spark, d):
     return spark.range(1).select(F.lit("Hello, world!").alias("message"))
 
 
 QUERIES = (
-    heavy_exact_user, heavy_exact_part, heavy_bounded_exact_regime, heavy_bounded_order, heavy_merged, heavy_bounded_native, heavy_tsv,
-    hash64_vectors, hll_count_user, hll_count_part, hll_registers, hll_by_group, hll_merge_days, hll_merge_registers, hll_inspect, hll_precision_sweep, hll_native_user,
-    bloom_sizing, bloom_bits, bloom_test_semi, bloom_test_anti, bloom_test_joined, bloom_union, bloom_inspect, bloom_fpr, semi_exact, anti_exact,
+    heavy_exact_user, heavy_exact_part, heavy_bounded_exact_regime, heavy_bounded_order, heavy_merged, heavy_bounded_native, heavy_tsv, heavy_json, heavy_key_values,
+    hash64_vectors, hll_count_user, hll_count_part, hll_registers, hll_by_group, hll_merge_days, hll_merge_registers, hll_inspect, hll_precision_sweep, hll_native_user, hll_state_files,
+    bloom_sizing, bloom_bits, bloom_test_semi, bloom_test_anti, bloom_test_joined, bloom_union, bloom_inspect, bloom_fpr, bloom_state_files, bloom_test_stored, semi_exact, anti_exact,
     card_typed_events, card_typed_json, card_delimited, card_csv, card_json_props, card_json_values,
     sample_stable, sample_rate_all, sample_rate_none, sample_bernoulli, sample_reservoir, sample_reservoir_size,
-    text_trim_nonempty, union_all_inputs,
-    kv_get, kv_scan_prefix, kv_scan_limit, kv_keys, kv_count_prefix, kv_put_delete, kv_export, kv_format, kv_families, kv_stats,
-    offsets_numeric, offsets_earliest, offsets_latest, offsets_timestamp, offsets_timestamp_late, offsets_current, offsets_warnings, offsets_subset,
+    text_trim_nonempty, union_all_inputs, scan_lines, scan_lines_cleaned, scan_nul, scan_verbatim, write_json_array_file,
+    kv_get, kv_scan_prefix, kv_scan_limit, kv_keys, kv_count_prefix, kv_put_delete, kv_export, kv_export_csv, kv_export_json, kv_format, kv_families, kv_stats,
+    offsets_numeric, offsets_earliest, offsets_latest, offsets_timestamp, offsets_timestamp_late, offsets_current, offsets_warnings, offsets_subset, offsets_plan_text, offsets_warning_lines,
     greeting,
 )
 

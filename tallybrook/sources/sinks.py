@@ -34,15 +34,15 @@ def json_array(rows: DataFrame, order: str, most: int = 10_000) -> DataFrame:
 
 def write_json_array(rows: DataFrame, order: str, path: str) -> None:
     """All rows as one array to a file, in the order of a column. The driver holds one partition at a time."""
-    from pyarrow import fs
-
     lines = rows.select(F.col(order).alias("o"), json_object(*rows.columns).alias("j")).orderBy("o", "j").select("j")
-    files, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    with files.open_output_stream(name) as out:
-        out.write(b"[")
+
+    def pieces():
+        yield b"["
         for i, r in enumerate(lines.toLocalIterator()):
-            out.write((",\n" if i else "").encode() + r["j"].encode())
-        out.write(b"]\n")
+            yield (",\n" * (i > 0) + r["j"]).encode()
+        yield b"]\n"
+
+    write_pieces(pieces(), path)
 
 
 def tsv_lines(df: DataFrame) -> DataFrame:
@@ -61,13 +61,25 @@ def key_value_lines(row: dict) -> str:
     return "".join(f"{k}={v}\n" for k, v in row.items())
 
 
-def write_state(state: bytes, path: str) -> None:
-    """A sketch or filter to a file of any file system that the driver reaches."""
+def write_pieces(pieces, path: str) -> None:
+    """Bytes, piece by piece, to a file of any file system that the driver reaches."""
     from pyarrow import fs
 
     files, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     with files.open_output_stream(name) as out:
-        out.write(state)
+        for piece in pieces:
+            out.write(piece)
+
+
+def write_state(state: bytes, path: str) -> None:
+    """A sketch or filter to a file."""
+    write_pieces([state], path)
+
+
+def write_verbatim(rows: DataFrame, path: str) -> None:
+    """Records (value, terminated) in their order, as ``records.read_raw`` gives them: a last one may have no line
+    feed. The driver holds one partition at a time."""
+    write_pieces((bytes(r["value"]) + b"\n" * r["terminated"] for r in rows.select("value", "terminated").toLocalIterator()), path)
 
 
 def read_states(spark, paths: str | list[str]) -> DataFrame:

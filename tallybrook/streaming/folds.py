@@ -19,9 +19,10 @@ def sample_stable(stream: DataFrame, item: str, rate: float, seed: int = 0) -> D
 
 
 def members(stream: DataFrame, item: str, state: bytes, invert: bool = False) -> DataFrame:
-    """For filters that fit a broadcast."""
+    """For filters that fit a broadcast: a larger one meets items in a join that needs them all at once (``bloom.test``
+    in ``foreachBatch``)."""
     if len(state) > bloom.BROADCAST:
-        raise ValueError("the filter is too large for a stream's tasks")
+        raise ValueError("the filter is too large for a stream's tasks: use bloom.test in foreachBatch")
     return bloom.test(stream, item, state, invert)
 
 
@@ -45,19 +46,28 @@ def value_counts(stream: DataFrame, item: str) -> DataFrame:
 class Reservoir:
     """For ``foreachBatch``: the ``n`` rows of least hash of (seed, key) so far, in a Parquet folder.
 
-    Rows that have a key of their own are a uniform sample, and a batch that comes again changes nothing.
+    Rows that have a key of their own are a uniform sample, and a batch that comes again changes nothing. What earlier
+    batches left is found in the folder, so a query that is started again goes on from there.
     """
 
     def __init__(self, path: str, n: int, key: str, seed: int = 1):
-        self.path, self.n, self.key, self.seed, self.turn = path, n, key, seed, None
+        self.path, self.n, self.key, self.seed = path, n, key, seed
+
+    def _last(self, below: int | None = None) -> int | None:
+        """The last batch whose rows are complete."""
+        from pyarrow import fs
+
+        files, name = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        found = files.get_file_info(fs.FileSelector(name, allow_not_found=True))
+        done = [int(x.base_name) for x in found if x.base_name.isdigit() and (below is None or int(x.base_name) < below)]
+        return max((i for i in done if files.get_file_info(f"{name}/{i}/_SUCCESS").type == fs.FileType.File), default=None)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, last = batch.sparkSession, self._last(batch_id)
         rows = batch.withColumn("_h", hash_of(F.col(self.key).cast("string"), self.seed))
-        if self.turn is not None and self.turn != batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{self.path}/{self.turn}"))
+        if last is not None:
+            rows = rows.unionByName(spark.read.parquet(f"{self.path}/{last}"))
         rows.dropDuplicates(["_h"]).orderBy("_h").limit(self.n).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        self.turn = batch_id
 
     def rows(self, spark) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{self.turn}").drop("_h")
+        return spark.read.parquet(f"{self.path}/{self._last()}").drop("_h")

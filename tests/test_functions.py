@@ -76,7 +76,8 @@ def test_offset_specs():
     for bad in ("-1", "x", "TIMESTAMP:1970-01-01", "timestamp:yesterday", "timestamp:1970-13-01", ""):
         with pytest.raises(ValueError):
             spec(bad)
-    assert spec("timestamp:1970-01-02").describe() == "timestamp 1970-01-02T00:00:00Z"
+    assert spec("timestamp:1970-01-02").describe() == "timestamp:1970-01-02T00:00:00Z"
+    assert [spec(x).describe() for x in ("7", "beginning", "END")] == ["7 (numeric)", "earliest (beginning of partition)", "latest (end of partition / high watermark)"]
 
 
 def test_lists_and_options():

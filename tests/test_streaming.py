@@ -39,3 +39,11 @@ def test_reservoir(spark, tmp_path):
     q.stop()
     rows = keep.rows(spark).collect()
     assert len(rows) == 20 and len({r.n for r in rows}) == 20
+    # a new object goes on from the folder: the sample is that of all rows, and a batch that comes again changes nothing
+    again = folds.Reservoir(str(tmp_path / "r"), 20, "n")
+    more = df.selectExpr("item", "ts", "n + 2000 AS n")
+    for _ in range(2):
+        again(more, 100)
+    whole = folds.Reservoir(str(tmp_path / "w"), 20, "n")
+    whole(df.unionByName(more), 0)
+    assert {r.n for r in again.rows(spark).collect()} == {r.n for r in whole.rows(spark).collect()}
