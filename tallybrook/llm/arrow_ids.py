@@ -12,8 +12,8 @@ Batches all have ``ROWS`` rows but the last and so one size in bytes: row i is a
 a view; from a remote one its batch alone is read. A task that is run again writes files of other names, and only
 those that the manifest names are read.
 
-Words (cut at ASCII white space, where no token goes across) are encoded by the library, each different one of a
-batch once, and what recent batches encoded is kept (``common.Recent``, a bounded size).
+Words (cut at ASCII white space, where no token goes across) are encoded by the library, and the ids of recent ones
+are kept: two generations of ``KEPT`` words of ``LONG`` bytes at most.
 
 Cases: a null or empty text is the end id alone. Rows of equal id follow by a hash of their text, and equal rows by
 their place in the input; a null id is first. Very long texts run over many sequences. Further columns are not
@@ -32,24 +32,26 @@ from pyspark.sql import functions as F
 
 from .blocks import files
 from .bpe_count import byte_symbols
-from .common import Recent, cut, fresh_path, small_batches
+from .common import cut, fresh_path, small_batches
 
 LENGTH, ROWS = 1024, 256
 #: Ids of a shard, beyond which a document starts another; and bytes of text for each task.
 TOKENS, SHARE = 1 << 24, 32 << 20
+KEPT, LONG = 1 << 18, 64
 END = 1
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
-class Words:
-    """The ids of words, as bytes."""
+class Words(dict):
+    """The ids of words, as bytes, made when first asked for. Two generations of ``KEPT`` words at most."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.known = Recent(1 << 17)
+        self.past: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -57,30 +59,33 @@ class Words:
         self.plain = spec["model"].get("end_of_word_suffix") == "</w>" and kinds == ["NFC", "Replace", "Lowercase"]
         self.symbols = {b: c for b, c in enumerate(byte_symbols())}
 
-    def learn(self, new: list[bytes]) -> list[bytes]:
-        cores: dict[str, bytes] = {}
-
-        def core(text: str) -> bytes:
-            found = cores.get(text)
-            if found is None:
-                tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))
-                found = cores[text] = array(self.code, [t.id for t in tokens]).tobytes()
-            return found
-
-        out = []
-        for word in new:
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.past.get(word)
+        if ids is None:
             text = word.decode()
             m = self.plain and SIMPLE.fullmatch(text)
             if not m:
-                out.append(array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+                ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             else:
-                out.append(core(m[1].lower()) + core(m[2]) if m[2] else core(m[1].lower()))
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [x.split() for x in texts]
-        known = self.known.of({w for ws in words for w in ws}, self.learn)
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+                ids = self._core(m[1].lower()) + self._core(m[2]) if m[2] else self._core(m[1].lower())
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
+
+    def _core(self, text: str) -> bytes:
+        key = text.encode()
+        found = self.get(key) or self.past.get(key)
+        if found is None:
+            found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(key.decode("latin-1").translate(self.symbols))]).tobytes()
+            if len(key) <= LONG:
+                self[key] = found
+        return found
+
+    def encode(self, text: bytes) -> bytes:
+        if len(self) > KEPT:
+            self.past = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _words: dict[str, Words] = {}  # for each Python worker
@@ -183,7 +188,7 @@ def write(docs: DataFrame, path: str, out: str, text: str = "text", end: int = E
             if not batch.num_rows:
                 continue
             writer = writer or _Writer(f"{out}/shard-{part:06d}-{turn:06d}-{uuid.uuid4().hex}", known.code, length, rows)
-            writer.add(batch.column(0).to_pylist(), [ids + stop for ids in known.encode(binary(batch.column(1)))])
+            writer.add(batch.column(0).to_pylist(), [known.encode(x) + stop for x in binary(batch.column(1))])
             if writer.total >= TOKENS:
                 yield done()
                 writer, turn = None, turn + 1

@@ -168,7 +168,7 @@ class Counter:
     def __init__(self, path: str):
         import regex
 
-        self.merger, self.pre, self.known = Merger(path), regex.compile(PRE_TOKEN), Recent()
+        self.merger, self.pre, self.known = Merger(path), regex.compile(PRE_TOKEN), Recent(1 << 19)
 
     def __call__(self, texts: list[str]) -> list[int]:
         cut, special = self.merger.cut, self.merger.special
@@ -181,7 +181,7 @@ class Counter:
             else:
                 extra.append(0)
                 pieces.append(PIECE.findall(x))
-        known = self.known.of({p for ps in pieces for p in ps}, self._learn)
+        known = self.known.of(set().union(*pieces), self._learn)
         return [n + sum(map(known.__getitem__, ps)) for ps, n in zip(pieces, extra, strict=True)]
 
     def _learn(self, new: list[str]) -> list[int]:

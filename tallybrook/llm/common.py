@@ -66,10 +66,11 @@ class Recent:
     def of(self, keys: set, make) -> dict:
         """A dict with the values of ``keys``; ``make`` gives those of a list of new ones."""
         now, past = self.now, self.past
-        kept = keys.intersection(past) - now.keys()
-        new = [k for k in keys if k not in now and k not in kept]
+        missing = keys.difference(now)
+        kept = missing.intersection(past)
+        new = list(missing.difference(kept))
         made = dict(zip(new, make(new), strict=True)) if new else {}
-        made.update((k, past[k]) for k in kept)
+        made.update(zip(kept, map(past.__getitem__, kept), strict=True))
         short = {k: v for k, v in made.items() if len(k) <= self.LENGTH}
         if len(now) + len(short) > self.size:
             found = {k: now[k] for k in keys.intersection(now)} | made
@@ -92,13 +93,19 @@ def map_texts(docs: DataFrame, text: str, fields: list[tuple[str, str]], make) -
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*kept).schema] + [f"`{n}` {k}" for n, k in fields])
 
     def run(batches):
+        import gc
+
         import pyarrow as pa
 
         work = make()
         kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
         for batch in batches:
             if batch.num_rows:
-                rows = work([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
+                gc.disable()  # a batch makes many short-lived objects and no cycles
+                try:
+                    rows = work([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
+                finally:
+                    gc.enable()
                 made = [pa.array(col, kinds[k]) for col, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*kept, *names])
 

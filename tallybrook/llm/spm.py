@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,6 +40,7 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 START, OUTSIDE, UNREACHED = -1, -2, -3
 FAR = np.int64(1 << 40)
+IDS, PLAIN = itemgetter(0), itemgetter(1)
 
 
 class Model:
@@ -148,11 +150,10 @@ class Model:
 
     def edges(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where entries occur in ``codes`` from the first ``n`` places on, and which; as the suffix array has them."""
-        # suffix array, to the depth of the longest entry
-        padded = np.concatenate((codes, np.zeros(self.depth, codes.dtype))).astype(">u2")  # bytes compare as codes do
-        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.depth)[:n]).view(f"S{2 * self.depth}").ravel()
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        padded = np.concatenate((codes, np.zeros(self.depth + 4, codes.dtype))).astype(">u2")  # bytes compare as codes do
+        order = suffixes(padded.astype(np.uint64), len(codes), self.depth)
+        order = order[order < n] if n < len(codes) else order
+        keys = np.lib.stride_tricks.sliding_window_view(padded, self.depth)[order].view(f"S{2 * self.depth}").ravel()
         first, last = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         many = last - first
         where = order[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]
@@ -272,9 +273,23 @@ class Model:
         return ids
 
 
+def suffixes(codes: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """The suffix array of the first n places, sorted to ``depth`` codes at least: by four, then by doubled ranks."""
+    key, size = codes[:n] << np.uint64(48), 4
+    for d in range(1, 4):
+        key |= codes[d : n + d] << np.uint64(48 - 16 * d)
+    while True:
+        order = np.argsort(key)
+        rank = np.zeros(n + size, np.int64)
+        rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0) + 1
+        if size >= depth or rank.max(initial=0) == n:
+            return order
+        key, size = rank[:n] * (n + 1) + rank[size:], 2 * size
+
+
 class Codec:
     def __init__(self, path: str):
-        self.model, self.known = Model(path), Recent()
+        self.model, self.known = Model(path), Recent(1 << 18)
 
     def units(self, text: str) -> list[str]:
         return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -306,11 +321,11 @@ class Codec:
     def both(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """The ids of each text (bytes) and the UTF-8 of the text decoded from them."""
         units = [self.units(x) for x in texts]
-        known = self.known.of({u for us in units for u in us}, self.learn)
+        found = self.known.of(set().union(*units), self.learn).__getitem__
         rows = []
         for us in units:
-            pairs = [known[u] for u in us]
-            rows.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])[1:]))
+            pairs = list(map(found, us))
+            rows.append((b"".join(map(IDS, pairs)), b"".join(map(PLAIN, pairs))[1:]))
         return rows
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

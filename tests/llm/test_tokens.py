@@ -47,9 +47,20 @@ def test_count_query(spark):
     assert got.count() == 6 and "extra" in got.columns and bpe_count.count(frame(spark, rows[:0]), BYTE).count() == 0
 
 
+def test_words_are_kept_for_two_generations(monkeypatch):
+    monkeypatch.setattr(arrow_ids, "KEPT", 20)
+    w, tok = arrow_ids.Words(WORDS), library(WORDS)
+    for i in range(200):
+        text = f"one two{i % 30} three{i} The, the"
+        assert np.frombuffer(w.encode(text.encode()), np.uint16).tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert len(w) < 40 and len(w.past) < 40
+    w.encode(b"z" * 100)
+    assert b"z" * 100 not in w
+
+
 def test_words_equal_the_library():
     w, every = arrow_ids.Words(WORDS), texts(seed=2)
-    assert [np.frombuffer(x, np.uint16).tolist() for x in w.encode([x.encode() for x in every])] == [e.ids for e in library(WORDS).encode_batch(every, add_special_tokens=False)]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in (w.encode(x.encode()) for x in every)] == [e.ids for e in library(WORDS).encode_batch(every, add_special_tokens=False)]
 
 
 def test_id_files(spark):
@@ -158,6 +169,15 @@ def test_windows_of_long_pieces(monkeypatch):
     assert spm.codec(PIECES).model.whole("▁" + text) == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
 
 
+def test_suffix_arrays():
+    rng = random.Random(9)
+    for n, letters in ((1, 3), (50, 2), (3000, 2), (3000, 60_000)):
+        codes = [rng.randrange(2, 2 + letters) for _ in range(n)]
+        order = spm.suffixes(np.array(codes + [0] * 20, np.uint64), n, 16)
+        keys = [tuple((codes + [0] * 16)[i : i + 16]) for i in order]
+        assert sorted(order.tolist()) == list(range(n)) and keys == sorted(keys)
+
+
 def test_recent_values():
     asked = []
     make = lambda keys: asked.extend(keys) or [k * 2 for k in keys]
