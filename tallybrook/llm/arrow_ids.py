@@ -2,10 +2,11 @@
 
 Documents are dealt by ranges of their id, so that the shards' order is the documents' order. Each task encodes
 its documents, strings the ids together and cuts them into sequences of ``LENGTH`` ids. A shard, of some ``TOKENS``
-ids at most, is two Arrow stream files in the shared folder:
+ids at most, is three Arrow stream files in the shared folder:
 
-- ``.ids``: columns ``ids`` (fixed-size list of the narrowest unsigned type that holds the vocabulary) and
-  ``mask`` (fixed-size list of bytes, 0 on the padding that ends the shard), ``ROWS`` sequences a batch;
+- ``.ids``: columns ``ids`` (fixed-size list of the narrowest unsigned type that holds the vocabulary) and ``mask``
+  (the number of the sequence's mask), ``ROWS`` sequences a batch;
+- ``.masks``: column ``mask`` (fixed-size list of bytes, 0 on padding): that of full sequences, and that of the last;
 - ``.docs``: columns ``doc_id``, ``start`` (in the shard) and ``n_tokens``.
 
 Batches all have ``ROWS`` rows but the last and so one size in bytes: row i is at a known place. Of a mapped file it is
@@ -108,8 +109,9 @@ class _Writer:
         self.uri, self.length, self.rows = uri, length, rows
         self.dtype = np.dtype("<u2" if code == "H" else "<u4")
         kind = pa.uint16() if code == "H" else pa.uint32()
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))], {"rows": str(rows), "length": str(length)})
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.uint8())], {"rows": str(rows), "length": str(length)})
         self.files, path = files(uri)
+        self.path = path
         self.files.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = self.files.open_output_stream(f"{path}.ids")
         self.stream = pa.ipc.new_stream(self.out, self.schema)
@@ -147,13 +149,18 @@ class _Writer:
 
     def _batch(self, flat, real: int) -> None:
         np, pa = self.np, self.pa
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
-        made = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)]
+        full = np.arange(self.length, len(flat) + 1, self.length) <= real
+        made = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.array((~full).astype(np.uint8))]
         self.stream.write_batch(pa.RecordBatch.from_arrays(made, schema=self.schema))
 
     def close(self) -> tuple[int, int]:
         self._flush(last=True)
+        masks = self.np.ones((2, self.length), self.np.uint8)
+        masks[1, self.total % self.length :] = 0
+        with self.files.open_output_stream(f"{self.path}.masks") as out:
+            batch = self.pa.RecordBatch.from_arrays([self.pa.FixedSizeListArray.from_arrays(self.pa.array(masks.ravel()), self.length)], ["mask"])
+            with self.pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch)
         for x in (self.stream, self.docs, self.out, self.index):
             x.close()
         return self.n_docs, self.total
@@ -216,6 +223,8 @@ class Shard:
             pa.ipc.read_message(self.source)
         self.size = max(1, self.source.tell() - self.first)
         self.n_batches = -(-(end - self.first) // self.size)
+        with self._open(".masks") as f:
+            self.masks = pa.ipc.open_stream(f).read_next_batch().column(0).values.to_numpy(zero_copy_only=True).view(bool)
 
     def _open(self, kind: str):
         import pyarrow as pa
@@ -233,20 +242,20 @@ class Shard:
     def __len__(self) -> int:
         return (self.n_batches - 1) * self.rows + self.batch(self.n_batches - 1).num_rows if self.n_batches else 0
 
-    def _values(self, batch: int, column: int):
-        return self.batch(batch).column(column).values.to_numpy(zero_copy_only=True)
+    def _values(self, batch: int):
+        return self.batch(batch).column(0).values.to_numpy(zero_copy_only=True)
 
     def __getitem__(self, i: int):
         batch, row = divmod(i, self.rows)
-        view = slice(row * self.length, (row + 1) * self.length)
-        return self._values(batch, 0)[view], self._values(batch, 1)[view].view(bool)
+        mask = self.batch(batch).column(1)[row].as_py() * self.length
+        return self._values(batch)[row * self.length : (row + 1) * self.length], self.masks[mask : mask + self.length]
 
     def spans(self, start: int, n: int):
         """Views that hold tokens start to start + n."""
         size = self.rows * self.length
         while n > 0:
             batch, first = divmod(start, size)
-            view = self._values(batch, 0)[first : first + n]
+            view = self._values(batch)[first : first + n]
             yield view
             start, n = start + len(view), n - len(view)
 
