@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .blocks import files
 from .bpe_count import byte_symbols
-from .common import cut, fresh_path, small_batches
+from .common import cut, fresh_path, small_batches, tool
 
 LENGTH, ROWS = 1024, 256
 #: Ids of a shard, beyond which a document starts another; and bytes of text for each task.
@@ -89,13 +89,8 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_words: dict[str, Words] = {}  # for each Python worker
-
-
 def words(path: str) -> Words:
-    if path not in _words:
-        _words[path] = Words(path)
-    return _words[path]
+    return tool(("words", path), lambda: Words(path))
 
 
 class _Writer:

@@ -15,9 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, small_batches
+from .common import cut, forget, fresh_path, small_batches
 
-BYTES, ROWS = 8 << 20, 1 << 18
+BYTES, ROWS = 4 << 20, 1 << 18
 #: Bits of a document's place in its block, and of a block's place in its partition's output.
 PLACE, TURN = 24, 16
 #: Words of more bytes are hashed one by one.
@@ -93,6 +93,7 @@ def store(docs: DataFrame, text: str = "text", gather=None) -> tuple[DataFrame,
         import pyarrow as pa
         from pyspark import TaskContext
 
+        forget()
         part, turn, block, maker = TaskContext.get().partitionId(), 0, None, gather() if gather else None
         names = ["no", "block", "idx", "id", "digest", "n_words", "keys", "sums"]
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]

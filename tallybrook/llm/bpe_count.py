@@ -24,7 +24,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Recent, map_texts
+from .common import Recent, map_texts, tool
 
 LIMIT = 1024
 #: Bytes of a pre-token that merges by ranks instead of rounds.
@@ -193,13 +193,8 @@ class Counter:
         return (sums[ends] - sums[ends - sizes]).tolist()
 
 
-_counters: dict[str, Counter] = {}  # for each Python worker
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return tool(("counter", path), lambda: Counter(path))
 
 
 def count(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import uuid
 
@@ -55,6 +56,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_tool: dict = {}  # what a Python worker keeps from task to task: one at a time
+
+
+def tool(key: tuple, make):
+    """``make()``, made once in each Python worker. Only the last one asked for is kept."""
+    if key not in _tool:
+        forget()
+        _tool[key] = make()
+    return _tool[key]
+
+
+def forget() -> None:
+    """Gives back the memory of what is kept: workers go on to other operators' tasks."""
+    import ctypes
+    import gc
+
+    if _tool:
+        _tool.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Recent:
     """Values of short strings that recent batches asked for: two generations of ``size`` at most."""
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .blocks import U
-from .common import cut, hot_join
+from .common import cut, hot_join, tool
 
 SHINGLE, LEAST = 5, 0.8
 ROWS, BANDS = 4, 16
@@ -45,8 +45,6 @@ WIDE = 4096
 NO_ID = -(1 << 63)
 SEED = 3
 
-_draws: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # constant, some 12 MB in each Python worker
-
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> U(46)).astype(np.int64)
@@ -96,10 +94,12 @@ def vectors(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def draws() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each sample: r and ln c (c, r of Gamma(2, 1)) and beta (uniform)."""
-    if not _draws:
+
+    def make():
         rng = np.random.default_rng(17)
-        _draws.extend((rng.gamma(2, 1, DRAWS).astype(np.float32), np.log(rng.gamma(2, 1, DRAWS)).astype(np.float32), rng.random(DRAWS, np.float32)) for _ in range(SAMPLES))
-    return _draws
+        return [(rng.gamma(2, 1, DRAWS).astype(np.float32), np.log(rng.gamma(2, 1, DRAWS)).astype(np.float32), rng.random(DRAWS, np.float32)) for _ in range(SAMPLES)]
+
+    return tool(("draws", DRAWS, SAMPLES), make)
 
 
 def bands(who: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:

@@ -30,7 +30,7 @@ from operator import itemgetter
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Recent, map_texts
+from .common import Recent, map_texts, tool
 
 #: Characters of new text that are indexed at once, and of a piece that isn't relaxed together with others.
 INDEXED, LONG = 1 << 17, 1 << 11
@@ -289,7 +289,7 @@ def suffixes(codes: np.ndarray, n: int, depth: int) -> np.ndarray:
 
 class Codec:
     def __init__(self, path: str):
-        self.model, self.known = Model(path), Recent(1 << 18)
+        self.model, self.known = Model(path), Recent(3 << 16)
 
     def units(self, text: str) -> list[str]:
         return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -337,13 +337,8 @@ class Codec:
         return b"".join([plain[i] for i in ids])[1:].decode(errors="replace")
 
 
-_codecs: dict[str, Codec] = {}  # for each Python worker
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return tool(("codec", path), lambda: Codec(path))
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
