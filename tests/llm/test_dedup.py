@@ -355,3 +355,30 @@ def test_pipeline(spark):
             assert {r.doc_id for r in at.collect()} == set(range(40))
     assert sizes[0] == 41 and sizes[1] == 40 and sizes[2] == 40
     assert sorted(map(tuple, corpus_pipeline.run(spark, path).collect())) == sorted(map(tuple, at.collect())) and at.filter("not exact").count() == 0
+
+
+def test_pipeline_keeps_texts_and_takes_odd_rows(spark):
+    """White space, null ids and sources, repeated ids, columns named like those that stages make; and no rows."""
+    rng = random.Random(10)
+    lined = lambda n: "\n\t".join(prose(rng, 12) for _ in range(n)) + "\n"
+    shared = prose(rng, 30)
+    docs = [(i, lined(9), "s1", 0, i * 0.5, "kept") for i in range(12)] + [(None, lined(8), None, 0, None, None), (3, lined(10), "s2", None, 1.0, "x")]
+    docs += [(20, f"{lined(6)}{shared}\n{lined(5)}", "s2", 0, 1.0, "x"), (21, f"{lined(7)}{shared}\t{lined(5)}", "s2", 0, 1.0, "x"), (22, None, "s1", 0, 1.0, "x"), (23, "", None, 0, 1.0, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars int, score double, n_words string")
+    for rows in (df, df.limit(0)):
+        path = blocks.fresh_path(spark, "sf")
+        rows.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in (*range(12), 20, 21)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        at = spark.read.parquet(f"{path}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            at = corpus_pipeline.cut(stage(spark, at, path))
+            assert k == 4 or at.columns == df.columns
+            if k == 2 and rows is df:
+                left = at.collect()
+                texts = {t for _, t, *_ in docs}
+                assert {*range(12), 20, 21} <= {r.doc_id for r in left} and all(r.n_chars == len(r.text) for r in left)
+                assert {(r.source, r.score, r.n_words) for r in left} <= {(d[2], d[4], d[5]) for d in docs}
+                assert [r.doc_id for r in left if r.text not in texts] == [21]
+                cut_one = next(r for r in left if r.doc_id == 21)
+                assert shared not in cut_one.text and cut_one.text.count("\n\t") == docs[15][1].count("\n\t")
+        assert (at.count() > 0) == (rows is df)
