@@ -7,7 +7,7 @@ not at all); what remains is encoded and decoded. All but the last return the co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.llm import mixing, near_dup, quality, spm, substring
@@ -15,8 +15,21 @@ from tallybrook.llm.common import cut, table
 from tallybrook.llm.queries import tokenizer
 
 
+def _apart(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with all columns that a stage doesn't use in one, where no column that it makes replaces them."""
+    rest = [F.col(c) for c in docs.columns if c not in used]
+    return docs.select(*used, *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def _whole(made: DataFrame, docs: DataFrame, *used: str, **more: Column) -> DataFrame:
+    """The columns of ``docs`` again; ``more`` replaces some of them."""
+    found = {c: F.col(c) if c in used else F.col(f"_rest.{c}") for c in docs.columns}
+    return made.select(*(more.get(c, found[c]).alias(c) for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    judged = quality.judge(_apart(docs, "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return _whole(judged.filter("kept"), docs, "doc_id", "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +37,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = substring.dedup(docs).filter("n_words > n_removed")
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    left = substring.dedup(_apart(docs, "doc_id", "text")).filter("n_words > n_removed")
+    size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return _whole(left, docs, "doc_id", "text", **size)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).filter("times > 0")
-    return mixed.withColumn("_turn", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    used = ("doc_id", "source", "text")
+    mixed = mixing.mix(_apart(docs, *used)).filter("times > 0")
+    return _whole(mixed.withColumn("_turn", F.explode(F.sequence(F.lit(1), "times"))), docs, *used)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
