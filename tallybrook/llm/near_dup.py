@@ -256,19 +256,37 @@ def _links(cells: DataFrame, number: DataFrame, n_blocks: int, text: str, idf) -
     return texts.groupBy("family", "i", "j").applyInArrow(compare, "u long, v long")
 
 
+def _then(step: DataFrame, more: DataFrame) -> DataFrame:
+    """node, label: ``step``'s labels, followed on where ``more`` (node, label) has them as nodes."""
+    onward = more.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return step.join(onward.hint("merge"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) for the nodes of ``links`` (u, v), by label propagation."""
-    both = cut(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v").hint("merge"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(near.hint("merge"), "node").select("node", F.least("label", "near").alias("new"), "label")
-        # and to where the label's own label points
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("next"))
-        nxt = cut(least.join(jump.hint("merge"), "new").select("node", F.least("new", "next").alias("new"), "label"))
-        labels = nxt.select("node", F.col("new").alias("label"))
-        if nxt.filter("new <> label").isEmpty():
-            return labels
+    """node, label (the least node of its component) for the nodes of ``links`` (u, v), by label propagation.
+
+    In each round a node takes its least neighbour's label, followed down to a node without lesser neighbours. Links
+    then go between those labels, each once, so that later rounds see only what the earlier ones haven't joined.
+    """
+    lesser = lambda df, a, b: df.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    first = edges = cut(lesser(links, "u", "v"))
+    rounds = []
+    while not edges.isEmpty():
+        step = cut(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")))
+        while not step.join(step.select(F.col("node").alias("label")).hint("merge"), "label", "left_semi").isEmpty():
+            step = cut(_then(step, step))
+        rounds.append(step)
+        from_u = edges.join(step.select(F.col("node").alias("u"), F.col("label").alias("a")).hint("merge"), "u")
+        from_both = from_u.join(step.select(F.col("node").alias("v"), F.col("label").alias("b")).hint("merge"), "v", "left")
+        edges = cut(lesser(from_both.select("a", F.coalesce("b", "v").alias("b")), "a", "b"))
+    nodes = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct()
+    labels = nodes.withColumn("label", F.col("node"))
+    if not rounds:
+        return labels
+    whole = rounds.pop()
+    while rounds:  # what a later round moves had no lesser neighbour before, so no node is moved in two
+        whole = cut(_then(rounds.pop(), whole).unionByName(whole))
+    return cut(_then(labels, whole))
 
 
 def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -208,6 +208,37 @@ def test_families_in_several_parts(spark, monkeypatch):
     assert got == expected and len(set(got.values())) == 1
 
 
+def joined_rows(spark, first):
+    """Rows that joins have made in the executions from number ``first`` on."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    for k in range(store.executionsList().size()):
+        run = store.executionsList().apply(k).executionId()
+        if run < first:
+            continue
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())) if "Join" in node.name() else ():
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    made += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_links_are_joined_a_few_times_only(spark):
+    """Rings of cliques, their nodes numbered at random: what is joined follows the links, however long the rings are."""
+    rng = random.Random(6)
+    name = rng.sample(range(10**6), 1600)
+    links = [(name[12 * k + a], name[(12 * k + b) % 1200]) for k in range(100) for a in range(12) for b in range(a + 1, 13)]
+    links += [(name[1200 + i], name[1201 + i]) for i in range(398) if i != 150] + [(name[1599], name[1599])]
+    df = spark.createDataFrame(links + links[:500], "u long, v long")
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = max((runs.apply(k).executionId() for k in range(runs.size())), default=-1) + 1
+    got = {r.node: r.label for r in near_dup.components(df).collect()}
+    parts = [name[:1200], name[1200:1351], name[1351:1599]]
+    assert got == {i: min(p) for p in parts for i in p}
+    assert joined_rows(spark, first) < 4 * len(links)
+    assert near_dup.components(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_without_rows(spark):
     assert near_dup.label(frame(spark, [])).count() == 0
     assert near_dup.label(frame(spark, [(1, None), (2, ""), (3, "a b c d e f")])).filter("kept").count() == 3
