@@ -11,7 +11,7 @@ often they show it. So the table grows with the labelled documents, and stops at
 ratios, 1 MB at most, are an array that every task holds, and scoring shuffles nothing.
 
 The trusted texts are those of all documents labelled good (``trusted``: of so many at most, the first in the order
-of a hash of their id). Their list of ids is joined as Spark sees fit: broadcast, or by shuffling where it is long.
+of a hash of their id). Their list of ids is broadcast up to ``SENT`` ids; a longer one is joined by shuffling the texts.
 The threshold is the quantile ``loss`` of the scores that the trusted texts, all of them, get from a model of the other
 trusted ones, as a good document that isn't trusted would: about that part of the good documents is lost. It is found
 by counting scores in bins, so that no task holds them all. With fewer than ``FEW`` of them that pass the base rules it
@@ -34,8 +34,8 @@ from .common import SPACES, constant, cut, let, words
 
 #: The least and the largest number of buckets, and the trusted texts' n-grams for each bucket between.
 BUCKETS, MOST_BUCKETS, PER_BUCKET = 10_000, 1 << 18, 16
-#: Trusted texts at most.
-TRUSTED = 20_000
+#: Trusted ids that are broadcast (some 64 bytes each in an executor).
+SENT = 1 << 21
 #: Added to each bucket's count.
 PRIOR = 0.5
 #: The part of the good documents that the threshold may lose.
@@ -69,9 +69,13 @@ def _grams(text: Column) -> Column:
     return let(_word_hashes(text), lambda h: F.concat(h, _pairs(h)))
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 def _trusted(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """Adds good: whether the row's doc_id is in ``trusted_ids``."""
-    ids = trusted_ids.select(F.col("doc_id").alias("_id")).distinct()
+    ids = _sent(trusted_ids.select(F.col("doc_id").alias("_id")).distinct())
     return docs.join(ids, F.col("doc_id") == F.col("_id"), "left").withColumn("good", F.col("_id").isNotNull()).drop("_id")
 
 
@@ -81,7 +85,7 @@ def counts(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", buckets:
     return each.groupBy(_bucket(F.col("h"), buckets).alias("bucket")).agg(F.count("*").alias("corpus"), F.count_if("good").alias("trusted"))
 
 
-def trusted_sample(labels: DataFrame, most: int | None = TRUSTED) -> DataFrame:
+def trusted_sample(labels: DataFrame, most: int | None = None) -> DataFrame:
     """Ids labelled good and never bad: all, or at most ``most``, the first in the order of their hash."""
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least"), F.max(F.coalesce("toxic", F.lit(0)) if "toxic" in labels.columns else F.lit(0)).alias("toxic"))
     found = good.filter((F.col("least") == 1) & (F.col("toxic") == 0)).select("doc_id")
@@ -207,14 +211,14 @@ def quantile(scores: DataFrame, part: float) -> tuple[int, float | None]:
     return n, at(binned(left.filter(wide == bin), narrow), rank)[2]
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", least: float | None = None, trusted: int | None = TRUSTED, loss: float = LOSS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", least: float | None = None, trusted: int | None = None, loss: float = LOSS) -> DataFrame:
     """``docs`` with the columns of ``measure``, score (the mean ratio; null without n-grams) and kept.
 
     kept: base rules passed and the score is no less than ``least`` (None: as the trusted texts have it).
     """
     plain = docs.drop("score", "kept")
     ids = cut(trusted_sample(labels, trusted))
-    good = cut(plain.select("doc_id", F.col(text).alias("_text")).join(ids, "doc_id", "left_semi").select("_text"))
+    good = cut(plain.select("doc_id", F.col(text).alias("_text")).join(_sent(ids), "doc_id", "left_semi").select("_text"))
     shown = good.agg(F.sum(F.greatest(2 * F.size(words(F.col("_text"))) - 1, F.lit(0)))).first()[0] or 0
     buckets = max(BUCKETS, min(MOST_BUCKETS, shown // PER_BUCKET))
     counted = cut(counts(plain, ids, text, buckets))

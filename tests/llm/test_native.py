@@ -273,6 +273,11 @@ def test_quantile_by_bins(spark):
     assert quality.quantile(frame.filter("score is null"), 0.5) == (0, None)
 
 
+def test_quality_trusts_all_labelled_good(spark):
+    labels = spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_sample(labels).count() == 20_500 and quality.trusted_sample(labels, 7).count() == 7
+
+
 # mixing
 
 
