@@ -69,14 +69,23 @@ def tool(key: tuple, make):
 
 def forget() -> None:
     """Gives back the memory of what is kept: workers go on to other operators' tasks."""
-    import ctypes
     import gc
 
     if _tool:
         _tool.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
+
+
+def release() -> None:
+    """Gives the system back what is freed, by Arrow too: allocators keep it, and a worker that waits holds it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Recent:

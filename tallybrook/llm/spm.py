@@ -11,7 +11,8 @@ never shows a pair over their border that would have merged before. So each plac
 following them back from the end gives the ids.
 
 Texts are cut before runs of spaces and around line ends, where no entry goes across. A batch encodes each different
-piece once, and what recent batches encoded is kept (``common.Recent``, a bounded size). Runs of spaces, whose
+piece once and holds it once, and the ids of what recent batches encoded are kept (``common.Recent``, a bounded
+size); each text is decoded from its ids. After a batch, freed memory goes back to the system. Runs of spaces, whose
 entries all have one score, merge from the left as the library does it. Pieces of more than ``LONG`` characters are
 indexed in windows of ``INDEXED`` and relaxed character by character, with what is known of two entries kept.
 
@@ -25,12 +26,11 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Recent, map_texts, tool
+from .common import Recent, map_texts, release, tool
 
 #: Characters of new text that are indexed at once, and of a piece that isn't relaxed together with others.
 INDEXED, LONG = 1 << 17, 1 << 11
@@ -40,7 +40,6 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 START, OUTSIDE, UNREACHED = -1, -2, -3
 FAR = np.int64(1 << 40)
-IDS, PLAIN = itemgetter(0), itemgetter(1)
 
 
 class Model:
@@ -290,14 +289,14 @@ def suffixes(codes: np.ndarray, n: int, depth: int) -> np.ndarray:
 class Codec:
     def __init__(self, path: str):
         self.model, self.known = Model(path), Recent(3 << 16)
+        self.kind = "H" if self.model.width <= 1 << 16 else "I"
 
     def units(self, text: str) -> list[str]:
         return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def learn(self, new: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids of each unit (as bytes) and what they decode to."""
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of each unit, as bytes."""
         m, out = self.model, []
-        kind, plain = "H" if m.width <= 1 << 16 else "I", m.plain
         upto = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // INDEXED
         for some in np.split(np.array(new, object), np.flatnonzero(np.diff(upto)) + 1):
             some = some.tolist()
@@ -306,7 +305,7 @@ class Codec:
             for u, core, ids in zip(some, cores, m.segment(cores), strict=True):
                 if core is not u:
                     ids = self._with_run(u, core, ids)
-                out.append((array(kind, ids).tobytes(), b"".join([plain[i] for i in ids])))
+                out.append(array(self.kind, ids).tobytes())
         return out
 
     def _with_run(self, unit: str, core: str, ids: list[int]) -> list[int]:
@@ -320,12 +319,12 @@ class Codec:
 
     def both(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """The ids of each text (bytes) and the UTF-8 of the text decoded from them."""
-        units = [self.units(x) for x in texts]
-        found = self.known.of(set().union(*units), self.learn).__getitem__
-        rows = []
+        seen: dict[str, str] = {}  # units that repeat are one string
+        units = [list(map(seen.setdefault, us, us)) for us in map(self.units, texts)]
+        found, plain, rows = self.known.of(set(seen), self.learn).__getitem__, self.model.plain.__getitem__, []
         for us in units:
-            pairs = list(map(found, us))
-            rows.append((b"".join(map(IDS, pairs)), b"".join(map(PLAIN, pairs))[1:]))
+            ids = b"".join(map(found, us))
+            rows.append((ids, b"".join(map(plain, array(self.kind, ids)))[1:]))
         return rows
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -358,6 +357,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", with_ids: bool
                 flat = np.frombuffer(ids, kind)
                 row = (len(flat), zlib.crc32(flat.astype("<u4").tobytes()), zlib.crc32(back), len(back), back == x.encode())
                 rows.append((*row, ids, back.decode()) if with_ids else row)
+            release()
             return rows
 
         return work

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .blocks import U
-from .common import cut
+from .common import cut, release
 
 WINDOW, ANCHOR = 20, 5
 #: Prefix lengths before the whole window.
@@ -194,6 +194,8 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
                 texts = [y[0] if there else None for there, y in zip(table.column(place).is_valid().to_pylist(), left, strict=True)]
                 columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == place else table.column(i) for i in range(len(kept))]
                 yield from pa.table([*columns, pa.array([x[1] for x in left], pa.int64()), pa.array([x[2] for x in left], pa.int64())], [*kept, "n_words", "n_removed"]).combine_chunks().to_batches(max_chunksize=500)
+                del table, raw, gone, left, texts, columns
+                release()  # the worker waits, or goes on to another operator
 
     return B.by_block(last.select("block", "idx", "ids", "ties", "keys", "owned"), n_blocks).mapInArrow(take_out, schema)
 

@@ -199,6 +199,28 @@ def test_sentencepiece_equals_the_library():
     assert [codec.decode(g) for g in got] == [sp.decode(g.tolist()) for g in got]
 
 
+def test_memory_of_pieces():
+    """A batch holds a piece that repeats once, and of what it has encoded the ids alone stay."""
+    import tracemalloc
+
+    codec, rng = spm.Codec(PIECES), random.Random(8)
+    words = ["".join(rng.choices("etaoinshrdlu", k=8)) for _ in range(20_000)]
+    codec.both([words[0]])
+    tracemalloc.start()
+    try:
+        codec.both([" ".join(words)])
+        kept = tracemalloc.get_traced_memory()[0]
+        texts = [" ".join(rng.choices(words, k=200)) for _ in range(1000)]
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        rows = codec.both(texts)
+        most = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert [back.decode() for _, back in rows] == texts
+    assert kept < 190 * len(words) and most < 15_000_000, (kept / len(words), most)
+
+
 def test_sentencepiece_query(spark):
     import sentencepiece
 
