@@ -15,9 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, fresh_path, small_batches
+from .common import cut, forget, fresh_path, release, small_batches
 
 BYTES, ROWS = 4 << 20, 1 << 18
+#: Bytes of a block's texts whose words are hashed at once: the arrays of a whole block take some 20 times its bytes.
+PART = 1 << 20
 #: Bits of a document's place in its block, and of a block's place in its partition's output.
 PLACE, TURN = 24, 16
 #: Words of more bytes are hashed one by one.
@@ -121,8 +123,11 @@ def store(docs: DataFrame, text: str = "text", gather=None) -> tuple[DataFrame,
                 if block.bytes >= BYTES or len(block.raw) >= ROWS:
                     yield rows(block)
                     block = None
+                    release()
         if block is not None:
             yield rows(block)
+            block = None
+            release()
         if maker:
             yield pa.RecordBatch.from_arrays([pa.array([None] * 1, k) for k in kinds[:-1]] + [pa.array([pack(maker.sums())], pa.binary())], names)
 
@@ -173,6 +178,18 @@ def texts(uri: str, text: str, idx: list[int] | None = None) -> list[bytes]:
     return binary(column if idx is None else column.take(idx))
 
 
+def parts(texts: list[bytes]):
+    """Runs of texts, in order, of some ``PART`` bytes each; a longer text has one of its own."""
+    first, size = 0, 0
+    for k, x in enumerate(texts):
+        if size and size + len(x) > PART:
+            yield texts[first:k]
+            first, size = k, 0
+        size += len(x)
+    if first < len(texts):
+        yield texts[first:]
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of pairs of hashes."""
     x = (a ^ (a >> U(29))) * U(0x9E3779B97F4A7C15) + b

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .blocks import U
-from .common import cut, hot_join, tool
+from .common import cut, hot_join, release, tool
 
 SHINGLE, LEAST = 5, 0.8
 ROWS, BANDS = 4, 16
@@ -57,8 +57,9 @@ class Frequencies:
         self.df = np.zeros(BUCKETS, np.int64)
 
     def keys(self, texts: list[bytes]) -> None:
-        w = B.Words(texts, SEED)
-        self.df += np.bincount(np.unique(w.doc * BUCKETS + _bucket(w.h)) % BUCKETS, minlength=BUCKETS)
+        for some in B.parts(texts):
+            w = B.Words(some, SEED)
+            self.df += np.bincount(np.unique(w.doc * BUCKETS + _bucket(w.h)) % BUCKETS, minlength=BUCKETS)
 
     def sums(self) -> np.ndarray:
         return self.df
@@ -130,6 +131,11 @@ def bands(who: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.nd
     return out
 
 
+def band_keys(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
+    """The band keys of texts, some at a time."""
+    return np.concatenate([np.zeros((0, BANDS), U), *(bands(*vectors(some, idf)[:3], len(some)) for some in B.parts(texts))])
+
+
 def similarities(who: np.ndarray, key: np.ndarray, weight: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
     """Weighted Jaccard similarities of the pairs of n sets (what stands on the diagonal means nothing).
 
@@ -243,6 +249,8 @@ def _links(cells: DataFrame, number: DataFrame, n_blocks: int, text: str, idf) -
                     if size > 1 << 20 or len(some) == 500 or k == len(rows) - 1:
                         yield pa.RecordBatch.from_arrays([pa.array([r["family"] for r in some], pa.int64()), pa.array([r["i"] for r in some], pa.int32()), pa.array([r["j"] for r in some], pa.int32()), pa.array([(no << B.PLACE) + r["idx"] for r in some], pa.int64()), pa.array([found[r["idx"]] for r in some], pa.binary())], ["family", "i", "j", "gid", "raw"])
                         some, size = [], 0
+                del found, some, rows
+                release()  # the worker waits, or goes on to another operator
 
     def compare(table):
         import pyarrow as pa
@@ -250,6 +258,8 @@ def _links(cells: DataFrame, number: DataFrame, n_blocks: int, text: str, idf) -
         gids = table.column("gid").to_pylist()
         similar = similarities(*vectors(table.column("raw").to_pylist(), idf.value), len(gids)) >= LEAST
         links = spanning(similar)
+        del similar
+        release()
         return pa.table({"u": pa.array([gids[a] for a, _ in links], pa.int64()), "v": pa.array([gids[b] for _, b in links], pa.int64())})
 
     texts = B.by_block(wanted.select("no", "block", "asked"), n_blocks).mapInArrow(fetch, "family long, i int, j int, gid long, raw binary")
@@ -308,9 +318,11 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for uri, no, idx in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = B.texts(uri, text, idx)
-                made = bands(*vectors(raw, idf.value)[:3], len(raw)).view(np.int64)
+                made = band_keys(raw, idf.value).view(np.int64)
                 for lo in range(0, len(idx), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array([(no << B.PLACE) + i for i in idx[lo : lo + 2000]], pa.int64()), pa.array(made[lo : lo + 2000].tolist(), pa.list_(pa.int64()))], ["gid", "keys"])
+                del raw, made
+                release()
 
     drawn = B.by_block(todo.select("block", "no", "idx"), n_blocks).mapInArrow(draw, "gid long, keys array<long>")
     met = cut(drawn.select("gid", F.posexplode("keys").alias("band", "k")).select("gid", F.xxhash64("band", "k").alias("key")))
@@ -351,5 +363,6 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for uri, idx in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield from B.load(uri, names).take(idx).combine_chunks().to_batches(max_chunksize=500)
+                release()
 
     return B.by_block(at.join(number.hint("merge"), "no").select("block", "idx"), max(1, number.count())).mapInArrow(take, docs.schema)

@@ -94,10 +94,13 @@ class Statistics:
         self.counts = np.zeros((len(PREFIXES), BUCKETS), np.int64)
 
     def keys(self, texts: list[bytes]) -> np.ndarray:
-        s = Suffixes(texts)
-        for i, n in enumerate(PREFIXES):
-            self.counts[i] += np.bincount(_bucket(B.grams(s.h, n)[s.where]), minlength=BUCKETS)
-        keys, n = np.unique(s.key, return_counts=True)
+        found = [np.zeros(0, U)]
+        for some in B.parts(texts):
+            s = Suffixes(some)
+            for i, n in enumerate(PREFIXES):
+                self.counts[i] += np.bincount(_bucket(B.grams(s.h, n)[s.where]), minlength=BUCKETS)
+            found.append(s.key)
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
         return np.concatenate((keys, keys[n > 1])).view(np.int64)
 
     def sums(self) -> np.ndarray:
@@ -161,6 +164,8 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
                 for lo in range(0, len(one), 20_000):
                     r = one[lo : lo + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (prefix[r].view(np.int64), label[r].view(np.int64), id_[r], tie[r], np.full(len(r), no))], ["prefix", "label", "id", "tie", "no"])
+                del s, at, prefix, label, doc, id_, tie, by, node, one
+                release()
 
     some = todo.filter("idx is not null and size(keys) > 0")
     sent = B.by_block(some, n_blocks).mapInArrow(send, "prefix long, label long, id long, tie long, no long")

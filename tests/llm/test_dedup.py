@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -239,6 +240,34 @@ def test_links_are_joined_a_few_times_only(spark):
     assert near_dup.components(df.limit(0)).count() == 0
 
 
+def test_memory_of_a_block(monkeypatch):
+    """A block's words are hashed some at a time: results are those of all at once, in a part of the memory."""
+    rng = np.random.default_rng(2)
+    vocabulary = np.array([f"word{i}" for i in range(50_000)], object)
+    texts = [" ".join(vocabulary[rng.integers(0, len(vocabulary), n)]).encode() for n in rng.integers(0, 900, 1000)]
+    texts[7:7] = [b"", texts[3], b" ".join(texts[:400])]
+    assert blocks.BYTES < sum(map(len, texts)) < 2 * blocks.BYTES
+    idf = near_dup.weights(rng.integers(1, 1000, near_dup.BUCKETS), 1000)
+
+    def made():
+        frequencies, statistics = near_dup.Frequencies(), substring.Statistics()
+        near_dup.draws()
+        return [(of(texts), own) for of, own in ((frequencies.keys, frequencies.sums), (statistics.keys, statistics.sums), (lambda x: near_dup.band_keys(x, idf), lambda: 0))]
+
+    peaks = []
+    for of in (near_dup.Frequencies().keys, substring.Statistics().keys):
+        tracemalloc.start()
+        of(texts[:7] + texts[10:])
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    assert max(peaks) < 36, peaks
+    some = made()
+    monkeypatch.setattr(blocks, "PART", 1 << 40)
+    for (a, own_a), (b, own_b) in zip(some, made(), strict=True):
+        assert np.array_equal(own_a(), own_b()) and (a is b is None or np.array_equal(a, b))
+    assert [x for part in blocks.parts(texts) for x in part] == texts and not list(blocks.parts([]))
+
+
 def test_near_duplicates_without_rows(spark):
     assert near_dup.label(frame(spark, [])).count() == 0
     assert near_dup.label(frame(spark, [(1, None), (2, ""), (3, "a b c d e f")])).filter("kept").count() == 3
